@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skeinwork.llm import encoding, grouped_split, set_join, shared_spans, terms
+from skeinwork.llm import abuse, encoding, grouped_split, mixing, personal_info, set_join, shared_spans, terms
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -29,6 +29,27 @@ def p1_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return links.select(F.col("record").alias("subgraph_id"), F.col("cls").alias("class_id"), "copies", "links")
 
 
+def _scored(spark: SparkSession, sf_dir: str, *keep: str) -> DataFrame:
+    table = abuse.word_table(_read(spark, sf_dir, "offensive_words"), "word")
+    model = abuse.fit(_read(spark, sf_dir, "abuse_samples"), "sample_id", "sample_text", "verdict", table)
+    return abuse.score(_read(spark, sf_dir, "comment_nodes"), "comment_id", "comment_text", model, table, keep)
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    flagged = _scored(spark, sf_dir).where(F.col("score") >= abuse.THRESHOLD)
+    return flagged.where("comment_id IS NOT NULL").select("comment_id").distinct()
+
+
+def p2_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every comment with its score."""
+    return _scored(spark, sf_dir).where("comment_id IS NOT NULL").groupBy("comment_id").agg(F.max("score").alias("score"))
+
+
+def p2_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Comments, flagged comments and their rate for each post."""
+    return abuse.rates(_scored(spark, sf_dir, "post_id"), "comment_id", "post_id")
+
+
 def _term_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes = _read(spark, sf_dir, "comment_nodes")
     counts = terms.term_counts(nodes, "comment_id", "comment_text")
@@ -44,6 +65,16 @@ def p3_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _term_counts(spark, sf_dir)
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, items = personal_info.find_personal(_read(spark, sf_dir, "comment_nodes"), "comment_id", "comment_text")
+    return items.select(F.col("record").alias("comment_id"), "kind").distinct()
+
+
+def p5_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every comment with its personal information replaced by placeholders."""
+    return personal_info.redact(_read(spark, sf_dir, "comment_nodes"), "comment_id", "comment_text")
+
+
 def session_number():
     """The number of the session a subgraph belongs to: by ``session_id``, else by ``subgraph_id``."""
     given = F.regexp_extract(F.coalesce("session_id", F.lit("")), r"(\d+)\D*$", 1)
@@ -73,6 +104,20 @@ def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoding.encode(_read(spark, sf_dir, "documents"), "doc_id", "text")
 
 
+def _mix(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    return mixing.mix(_read(spark, sf_dir, "documents"), "doc_id", "text", "source", _read(spark, sf_dir, "mix_targets"))
+
+
+def p8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mixture: blocks of tokens by output shard and slot."""
+    return _mix(spark, sf_dir)[0]
+
+
+def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The share of tokens each source was to have and has."""
+    return _mix(spark, sf_dir)[1]
+
+
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shared_spans.shared_chars(_read(spark, sf_dir, "documents"), "doc_id", "text").select("doc_id", "shared_chars")
 
@@ -86,11 +131,18 @@ def p9_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "p1_found": p1_found,
     "p1_links": p1_links,
+    "p2_found": p2_found,
+    "p2_scores": p2_scores,
+    "p2_rates": p2_rates,
     "p3_found": p3_found,
     "p3_terms": p3_terms,
+    "p5_found": p5_found,
+    "p5_redacted": p5_redacted,
     "p6_found": p6_found,
     "p6_splits": p6_splits,
     "p7_ids": p7_ids,
+    "p8_mix": p8_mix,
+    "p8_shares": p8_shares,
     "p9_found": p9_found,
     "p9_spans": p9_spans,
 }
