@@ -12,29 +12,30 @@ from skeinwork.operators.components import hash_to_min
 from skeinwork.storage import Stash
 
 
-def dbscan(df: DataFrame, key: str, columns: list[str], eps: float, least: int) -> DataFrame:
+def dbscan(df: DataFrame, key: str, columns: list[str], eps: float, least: int, by: str | None = None) -> DataFrame:
     """``key, cluster``: DBSCAN; the cluster is the least key of its core points, null for noise.
 
-    Equal points become one weighted point first, so copies cost nothing.  Points are put into grid cells
-    of eps / sqrt(d): points of one cell are neighbours of each other without looking at pairs, and a cell
-    with ``least`` points is all core.  Only pairs of different cells within reach are compared, and core
-    cells are linked as cells.  A border point joins the reachable cluster of least core key.  Rows with a
-    null coordinate are noise.
+    With ``by``, rows cluster within equal values of that column only.  Equal points become one weighted
+    point first, so copies cost nothing.  Points are put into grid cells of eps / sqrt(d): points of one
+    cell are neighbours without looking at pairs.  Only points of different cells within reach are
+    compared, and core cells are linked as cells.  A border point joins the reachable cluster of least
+    core key.  Rows with a null coordinate are noise.
     """
     stash = Stash(df.sparkSession, "dbscan")
     d = len(columns)
     side = eps / (d**0.5)
     coords = F.array(*[F.col(c).cast("double") for c in columns])
-    rows = stash.put(df.select(F.col(key).alias("k"), coords.alias("x")))
+    group = F.coalesce(F.col(by).cast("string"), F.lit("")) if by else F.lit("")
+    rows = stash.put(df.select(F.col(key).alias("k"), group.alias("g"), coords.alias("x")))
     full = ~F.exists("x", lambda v: v.isNull() | F.isnan(v))
-    points = rows.where(full).groupBy("x").agg(F.count("*").alias("n"), F.min("k").alias("k"))
-    points = stash.put(points.withColumn("cell", F.transform("x", lambda v: F.floor(v / side))))
+    points = rows.where(full).groupBy("g", "x").agg(F.count("*").alias("n"), F.min("k").alias("k"))
+    points = stash.put(points.select("k", "g", "x", "n", F.struct("g", F.transform("x", lambda v: F.floor(v / side)).alias("c")).alias("cell")))
     cells = points.groupBy("cell").agg(F.sum("n").alias("weight"))
     reach = int(d**0.5) + 1
     steps = [list(o) for o in itertools.product(range(-reach, reach + 1), repeat=d) if any(o)]
     shifts = F.array(*[F.array(*[F.lit(v).cast("bigint") for v in o]) for o in steps])
-    near = points.select("k", "x", "n", "cell", F.explode(shifts).alias("o")).select("k", "x", "n", "cell", F.zip_with("cell", "o", lambda a, b: a + b).alias("other"))
-    # occupied cells only; a whole cell that is known to be core still needs its pairs for the links
+    near = points.select("k", "x", "cell", F.explode(shifts).alias("o"))
+    near = near.select("k", "x", "cell", F.struct(F.col("cell.g").alias("g"), F.zip_with("cell.c", "o", lambda a, b: a + b).alias("c")).alias("other"))
     a, b = near.alias("a"), points.alias("b")
     close = a.join(b, (F.col("a.other") == F.col("b.cell")) & (distance(F.col("a.x"), F.col("b.x")) <= eps))
     pairs = stash.put(close.select(F.col("a.k").alias("k"), F.col("a.cell").alias("cell"), F.col("b.k").alias("q"), F.col("b.cell").alias("qcell"), F.col("b.n").alias("n")))
@@ -48,34 +49,11 @@ def dbscan(df: DataFrame, key: str, columns: list[str], eps: float, least: int)
     labels = hash_to_min(stash.put(edges), stash)
     clusters = stash.put(core_cells.join(labels, F.col("head") == F.col("node"), "left").select("cell", F.coalesce("component", "head").alias("cluster")))
     of_core = core.join(clusters, "cell").select("k", "cluster")
-    same_cell = points.join(clusters, "cell").select("k", F.col("cluster"))
+    same_cell = points.join(clusters, "cell").select("k", "cluster")
     other = pairs.join(core.select(F.col("k").alias("q")), "q", "left_semi").join(clusters.select(F.col("cell").alias("qcell"), "cluster"), "qcell").select("k", "cluster")
     border = same_cell.unionByName(other).join(core.select("k"), "k", "left_anti").groupBy("k").agg(F.min("cluster").alias("cluster"))
-    found = of_core.unionByName(border)
-    at = points.select("k", "x").join(found, "k", "left").select("x", "cluster")
-    return rows.join(at, "x", "left").select(F.col("k").alias(key), "cluster")
-
-
-def dbscan_1d(df: DataFrame, key: str, value: str, eps: float, least: int, by: str | None = None) -> DataFrame:
-    """``[by,] key, cluster`` on one column: sort, count neighbours by range frames, cut where cores part.
-
-    A cluster has the number of its place in the order of values, from 0; noise is null.
-    """
-    group = [by] if by else []
-    w = Window.partitionBy(*group) if by else Window.partitionBy(F.lit(0))
-    counts = df.where(F.col(value).isNotNull()).groupBy(*group, F.col(value).cast("double").alias("_v")).agg(F.count("*").alias("_n"))
-    frame = w.orderBy("_v").rangeBetween(-eps, eps)
-    cores = counts.withColumn("_core", F.sum("_n").over(frame) >= least)
-    only = cores.where("_core").withColumn("_new", (F.col("_v") - F.lag("_v").over(w.orderBy("_v")) > eps).cast("int"))
-    numbered = only.withColumn("cluster", F.sum(F.coalesce("_new", F.lit(0))).over(w.orderBy("_v"))).select(*group, "_v", "cluster")
-    joined = cores.join(numbered, [*group, "_v"], "left")
-    # a border value takes the nearest core on its left within reach, else on its right
-    left = F.last(F.when(F.col("_core"), F.struct("_v", "cluster")), True).over(w.orderBy("_v").rowsBetween(Window.unboundedPreceding, 0))
-    right = F.first(F.when(F.col("_core"), F.struct("_v", "cluster")), True).over(w.orderBy("_v").rowsBetween(0, Window.unboundedFollowing))
-    placed = joined.withColumn("_l", left).withColumn("_r", right)
-    final = F.when(F.col("_v") - F.col("_l._v") <= eps, F.col("_l.cluster")).when(F.col("_r._v") - F.col("_v") <= eps, F.col("_r.cluster"))
-    table = placed.select(*group, "_v", final.cast("bigint").alias("cluster"))
-    return df.withColumn("_v", F.col(value).cast("double")).join(table, [*group, "_v"], "left").select(*group, key, "cluster")
+    at = points.select("k", "g", "x").join(of_core.unionByName(border), "k", "left").select("g", "x", "cluster")
+    return rows.join(at, ["g", "x"], "left").select(F.col("k").alias(key), "cluster")
 
 
 def size_bins(df: DataFrame, size: str, width: int = 2, least: int = 20) -> DataFrame:

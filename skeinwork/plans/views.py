@@ -61,7 +61,7 @@ _SPLIT = r"regexp_split_to_array(regexp_replace(lower(comment_text), '[^a-z0-9_\
 WORDS = f"""w AS (SELECT id, comment_id, post_id, user_id, comment_text,
   list_filter({_SPLIT}, lambda x: length(x) >= 3 AND NOT list_contains([{quoted(L.STOP_WORDS)}], x)) AS words FROM n)"""
 VIDEOS = f"""v AS (SELECT * FROM (
-  SELECT videolink AS url, username, mediacaption, {sql_time('creationtime')} AS created, coalesce(try_cast(likecount AS INT), 0) AS like_count,
+  SELECT videolink AS url, username, mediacaption, {sql_time('creationtime')} AS created, CASE WHEN regexp_full_match(trim(likecount), '[+-]?[0-9]+') THEN coalesce(try_cast(likecount AS INT), 0) ELSE 0 END AS like_count,
     CASE WHEN trim(lower(question2)) <> '' THEN (trim(lower(question2)) = 'bullying')::INT END AS label, column1, column2,
     row_number() OVER (PARTITION BY videolink ORDER BY username DESC NULLS LAST, mediacaption DESC NULLS LAST, creationtime DESC NULLS LAST,
       likecount DESC NULLS LAST, question2 DESC NULLS LAST, column1 DESC NULLS LAST, column2 DESC NULLS LAST) AS rn
