@@ -35,9 +35,12 @@ def co_comment_edges(comments: DataFrame, least: int = 2, block: int = 500) -> D
     """``a, b, weight``, a < b: users that commented on the same posts, with the number of such posts.
 
     The users of a post are cut into blocks of about ``block`` and each pair of blocks is joined on its
-    own, so the pairs of a post with a tenth of all comments spread over many tasks.
+    own, so the pairs of a post with a tenth of all comments spread over many tasks.  Users of fewer than
+    ``least`` posts cannot reach the weight and are left out before any pair is formed.
     """
     members = comments.select("post_id", "user_id").where("post_id IS NOT NULL AND user_id IS NOT NULL").distinct()
+    frequent = members.groupBy("user_id").agg(F.count("*").alias("posts")).where(F.col("posts") >= least)
+    members = members.join(frequent.select("user_id"), "user_id", "left_semi")
     sizes = members.groupBy("post_id").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
     placed = members.join(sizes, "post_id").withColumn("own", F.pmod(F.xxhash64("user_id"), F.col("blocks")).cast("int"))
     meets = placed.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))

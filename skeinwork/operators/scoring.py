@@ -31,7 +31,7 @@ def subgraph_score(parts: DataFrame, key: str, weights: dict[str, float] | None
     """``key, score, n``: scores by type (``key, type, n, score``) weighted by the type's share of nodes and
     its weight, normalised, times 1 + 0.1 min(n / 15, 1)."""
     table = F.create_map(*[F.lit(x) for kv in (weights or TYPE_WEIGHTS).items() for x in kv])
-    rows = parts.withColumn("w", F.coalesce(F.element_at(table, "type"), F.lit(0.0)) * F.col("n"))
+    rows = parts.withColumn("w", F.coalesce(F.element_at(table, F.col("type")), F.lit(0.0)) * F.col("n"))
     out = rows.groupBy(key).agg(F.sum(F.col("w") * F.col("score")).alias("s"), F.sum("w").alias("w"), F.sum(F.when(F.col("w") > 0, F.col("n")).otherwise(0)).alias("n"))
     return out.select(key, (F.coalesce(F.col("s") / F.nullif("w", F.lit(0.0)), F.lit(0.0)) * (1 + 0.1 * F.least(F.col("n") / 15, F.lit(1.0)))).alias("score"), "n")
 

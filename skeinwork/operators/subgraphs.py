@@ -67,7 +67,7 @@ def capped_nodes(nodes: DataFrame, caps: dict[str, int], seed: int = 42) -> Data
     rank = F.row_number().over(Window.partitionBy("session", "type").orderBy(hash_rank(F.concat_ws(":", "type", F.col("id").cast("string")), seed), "id"))
     most = max(caps.values())
     first = top_per_group(nodes, ["session", "type"], [hash_rank(F.concat_ws(":", "type", F.col("id").cast("string")), seed), F.col("id")], most)
-    return first.withColumn("_rn", rank).where(F.col("_rn") <= F.coalesce(F.element_at(cap, "type"), F.lit(0))).drop("_rn")
+    return first.withColumn("_rn", rank).where(F.col("_rn") <= F.coalesce(F.element_at(cap, F.col("type")), F.lit(0))).drop("_rn")
 
 
 def induced_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:

@@ -83,12 +83,12 @@ def unlabelled_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def post_hour_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = nodes(spark, sf_dir).where("ts IS NOT NULL")
-    return users.histogram(n, "post_id", F.hour("ts"), list(range(24)))
+    return users.histogram(n, "post_id", F.hour("ts"), list(range(24))).withColumn("counts", F.concat_ws(",", F.col("counts").cast("array<string>")))
 
 
 def post_weekday_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = nodes(spark, sf_dir).where("ts IS NOT NULL")
-    return users.histogram(n, "post_id", F.weekday("ts"), list(range(7)))
+    return users.histogram(n, "post_id", F.weekday("ts"), list(range(7))).withColumn("counts", F.concat_ws(",", F.col("counts").cast("array<string>")))
 
 
 def time_of_day_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -268,7 +268,7 @@ _V_NO = r"nullif(regexp_extract(coalesce(session_id, ''), '(\d+)\D*$', 1), '')::
 
 
 def _hist(bucket: str, n: int) -> str:
-    return f"WITH {NODES}, h AS (SELECT post_id, {bucket} AS h FROM n WHERE ts IS NOT NULL) SELECT post_id, [" + ", ".join(f"count(*) FILTER (h = {i})" for i in range(n)) + "] AS counts FROM h GROUP BY post_id"
+    return f"WITH {NODES}, h AS (SELECT post_id, {bucket} AS h FROM n WHERE ts IS NOT NULL) SELECT post_id, array_to_string([" + ", ".join(f"count(*) FILTER (h = {i})" for i in range(n)) + "], ',') AS counts FROM h GROUP BY post_id"
 
 
 def _scaled(kind: str) -> str:
