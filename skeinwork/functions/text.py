@@ -86,21 +86,24 @@ def pattern_score(text: Column, patterns: list[tuple[str, float]] | None = None)
     return F.greatest(*[F.when(low.rlike(p), F.lit(s)).otherwise(F.lit(0.0)) for p, s in (patterns or L.PATTERNS)], F.lit(0.0))
 
 
-def lexicon_means(words: Column, strengths: dict[str, dict[str, float]] | None = None) -> Column:
-    """struct<aggression, negative, positive>: mean strength of listed words.
+def lexicon_hits_in_context(words: Column, strengths: dict[str, dict[str, float]] | None = None) -> Column:
+    """array<struct<aggression, negative, turned, positive>>: the strengths of each listed word.
 
     The one or two words before decide: an intensifier multiplies; a negation takes 0.3 of a negative or
     aggressive word and turns 0.7 of a positive one negative.  The nearer word counts first.
     """
     table = strengths or L.STRENGTHS
+    listed = sorted({w for d in table.values() for w in d})
     maps = {c: F.create_map(*[F.lit(x) for kv in d.items() for x in kv]) for c, d in table.items()}
     boost = F.create_map(*[F.lit(x) for kv in L.INTENSIFIERS.items() for x in kv])
-    before = lambda i, k: F.when(i >= k, F.get(words, i - k))
-
-    def scored(w, i):
-        factor = F.coalesce(F.element_at(boost, F.coalesce(before(i, 1), F.lit(""))), F.element_at(boost, F.coalesce(before(i, 2), F.lit(""))), F.lit(1.0))
-        negated = F.coalesce(before(i, 1).isin(L.NEGATIONS), F.lit(False)) | F.coalesce(before(i, 2).isin(L.NEGATIONS), F.lit(False))
-        s = {c: F.element_at(maps[c], w) * factor for c in maps}
+    before = lambda i, k: F.coalesce(F.when(i >= k, F.get(words, i - k)), F.lit(""))
+    placed = F.transform(words, lambda w, i: F.struct(w.alias("w"), before(i, 1).alias("p"), before(i, 2).alias("q")))
+    found = F.filter(placed, lambda t: t["w"].isin(listed))
+
+    def scored(t):
+        factor = F.coalesce(F.element_at(boost, t["p"]), F.element_at(boost, t["q"]), F.lit(1.0))
+        negated = t["p"].isin(L.NEGATIONS) | t["q"].isin(L.NEGATIONS)
+        s = {c: F.element_at(maps[c], t["w"]) * factor for c in maps}
         return F.struct(
             F.when(negated, s["aggression"] * 0.3).otherwise(s["aggression"]).alias("aggression"),
             F.when(negated, s["negative"] * 0.3).otherwise(s["negative"]).alias("negative"),
@@ -108,14 +111,13 @@ def lexicon_means(words: Column, strengths: dict[str, dict[str, float]] | None =
             F.when(~negated, s["positive"]).alias("positive"),
         )
 
-    each = F.transform(words, scored)
+    return F.transform(found, scored)
 
-    def mean(*names: str) -> Column:
-        values = F.filter(F.flatten(F.transform(each, lambda e: F.array(*[e[n] for n in names]))), lambda v: v.isNotNull())
-        total = F.aggregate(values, F.lit(0.0), lambda a, v: a + v)
-        return F.coalesce(total / F.nullif(F.size(values), F.lit(0)), F.lit(0.0))
 
-    return F.struct(mean("aggression").alias("aggression"), mean("negative", "turned").alias("negative"), mean("positive").alias("positive"))
+def mean_of(hits: Column, *names: str) -> Column:
+    """Mean of the named strengths over the hits that have them; 0 without any."""
+    values = F.filter(F.flatten(F.transform(hits, lambda e: F.array(*[e[n] for n in names]))), lambda v: v.isNotNull())
+    return F.coalesce(F.aggregate(values, F.lit(0.0), lambda a, v: a + v) / F.nullif(F.size(values), F.lit(0)), F.lit(0.0))
 
 
 def longest_run(words: Column, lexicon: list[str]) -> Column:

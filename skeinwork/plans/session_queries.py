@@ -142,7 +142,7 @@ def user_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def user_level_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return user_levels(spark, sf_dir).groupBy("level").agg(F.count("*").alias("users"), F.round(F.avg("aggression"), 6).alias("mean"))
+    return user_levels(spark, sf_dir).groupBy("level").agg(F.count("*").alias("users"), F.round(F.avg("aggression"), 4).alias("mean"))
 
 
 def user_top_n(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -274,7 +274,7 @@ def _hist(bucket: str, n: int) -> str:
 def _scaled(kind: str) -> str:
     low, span = ("min({c})", "max({c}) - min({c})") if kind == "minmax" else ("avg({c})", "stddev_pop({c})")
     stats = ", ".join(f"{low.format(c=c)} AS a_{c}, {span.format(c=c)} AS b_{c}" for c in _SCALED)
-    cols = ", ".join(f"round(({c} - a_{c}) / CASE WHEN b_{c} = 0 THEN 1 ELSE b_{c} END, 6) AS {c}" for c in _SCALED)
+    cols = ", ".join(f"round(({c} - a_{c}) / CASE WHEN b_{c} = 0 THEN 1 ELSE b_{c} END, 6) + 0.0 AS {c}" for c in _SCALED)
     return f"WITH p AS (SELECT {stats} FROM lineitem) SELECT l_orderkey, l_linenumber, {cols} FROM lineitem, p"
 
 
@@ -322,7 +322,7 @@ r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts NULLS FIRST,
 SELECT user_id, count(*) AS comments, count(DISTINCT post_id) AS posts, min(ts) AS first_seen, max(ts) AS last_seen, any_value(username) FILTER (down = 1) AS last_name,
   any_value(location) FILTER (down = 1) AS last_location, any_value(verified) FILTER (up = 1) AS first_verified, count(DISTINCT location) AS locations FROM r GROUP BY user_id""",
     "user_levels": _LEVELS + " SELECT user_id, comments, aggression, level FROM ll",
-    "user_level_distribution": _LEVELS + " SELECT level, count(*) AS users, round(avg(aggression), 6) AS mean FROM ll GROUP BY level",
+    "user_level_distribution": _LEVELS + " SELECT level, count(*) AS users, round(avg(aggression), 4) AS mean FROM ll GROUP BY level",
     "user_top_n": _LEVELS + " SELECT user_id, aggression FROM ll ORDER BY aggression DESC, user_id LIMIT 10",
     "user_top5_examples": _USERS + " SELECT user_id, id, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, id) AS rn FROM us WHERE score > 0.3) WHERE rn <= 5",
     "user_totals_merged": _USERS + " SELECT user_id, count(*) AS comments, round(sum(score), 6) AS total, round(max(score), 6) AS top, count(*) FILTER (score > 0.3) AS above FROM us GROUP BY user_id",

@@ -101,9 +101,11 @@ def pattern_aggression(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def lexicon_emotion(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean strengths by class, with the words before each taken into account."""
-    words = X.tokens(F.col("comment_text"), 1, [])
-    rows = nodes(spark, sf_dir).where("comment_text IS NOT NULL").select("id", X.lexicon_means(words).alias("e"))
-    return rows.select("id", *[F.round(f"e.{c}", 6).alias(c) for c in L.STRENGTHS]).where("aggression > 0 OR negative > 0 OR positive > 0")
+    listed = F.array(*[F.lit(w) for d in L.STRENGTHS.values() for w in d])
+    rows = nodes(spark, sf_dir).where("comment_text IS NOT NULL").select("id", X.tokens(F.col("comment_text"), 1, []).alias("words"))
+    hits = rows.where(F.arrays_overlap("words", listed)).select("id", X.lexicon_hits_in_context(F.col("words")).alias("hits"))
+    means = {"aggression": ["aggression"], "negative": ["negative", "turned"], "positive": ["positive"]}
+    return hits.select("id", *[F.round(X.mean_of(F.col("hits"), *n), 6).alias(c) for c, n in means.items()]).where("aggression > 0 OR negative > 0 OR positive > 0")
 
 
 def context_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
