@@ -2,10 +2,28 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
+import tempfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once for each application."""
+    app = spark.sparkContext.applicationId
+    if app in _shipped:
+        return
+    package = Path(__file__).resolve().parent
+    folder = tempfile.mkdtemp(prefix="skeinwork-ship-")  # the driver serves the file from there
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    spark.sparkContext.addPyFile(shutil.make_archive(f"{folder}/skeinwork", "zip", package.parent, package.name))
+    _shipped.add(app)
+
 
 def get_session(app: str = "skeinwork", cores: str | int = "*", **conf) -> SparkSession:
     """A local session for tests, benches and notebooks; on a cluster, submit with your own settings.
