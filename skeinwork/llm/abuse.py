@@ -52,13 +52,16 @@ class Features:
         self.nouns, self.adjectives, self.sexual = set(L.INSULT_NOUNS), set(L.INSULT_ADJECTIVES), set(L.SEXUAL)
         self.table = {w for w in fold if " " not in w}
         self.foreign = set(L.FOREIGN_WORDS)
-        words = self.nouns | self.adjectives | self.sexual | self.table | {"vermin", "teeth", "kys", "roadkill", "bang", "beat", "slap", "punch", "people", "like", "you", "cage", "foreigners"}
+        # words of the phrases take part when disguises are undone, though they are no abuse by themselves
+        phrases = L.THREATS + L.WISHES + L.DEMEANING + L.HATE + L.SOLICITING
+        spoken = {w for p in phrases for w in regex.findall(r"[a-z]{4,}", regex.sub(r"\\[a-zA-Z]", " ", p))}
+        words = self.nouns | self.adjectives | self.sexual | self.table | spoken | {"kys", "like", "you", "foreigners"}
         self.known = words
         self.squeezed = {}
         for w in sorted(words):
             self.squeezed.setdefault(_squeeze(w), w)
         self.masked: dict[tuple[str, str, int], str] = {}
-        for w in sorted(words):
+        for w in sorted(words, key=lambda w: (w in spoken and w not in self.nouns | self.adjectives | self.sexual, w)):
             if len(w) >= 3:
                 self.masked.setdefault((w[0], w[-1], len(w)), w)
         any_of = lambda patterns: regex.compile("|".join(f"(?:{p})" for p in patterns))
@@ -122,11 +125,13 @@ class Features:
         hits, odd = 0, min(hidden, 3)
 
         def together(m) -> str:
-            head, rest = "", m[0]
-            if rest[:2].lower() in ("a ", "i ", "u "):  # a word of its own
-                head, rest = rest[:2], rest[2:].lstrip()
-            tight = "".join(c for c in rest if c not in " .-_*~\t\n")
-            listed = any(self.squeezed.get(_squeeze(v)) for v in self._variants(tight.lower()))
+            def tighten(part: str) -> tuple[str, bool]:
+                tight = "".join(c for c in part if c not in " .-_*~\t\n")
+                return tight, any(self.squeezed.get(_squeeze(v)) for v in self._variants(tight.lower()))
+
+            head, (tight, listed) = "", tighten(m[0])
+            if not listed and m[0][:2].lower() in ("a ", "i ", "u "):  # a word of its own
+                head, (tight, listed) = m[0][:2], tighten(m[0][2:])
             return head + tight if listed or len(tight) >= 4 and sum(map(str.isalpha, tight)) >= 3 else m[0]
 
         joined = self.spaced.sub(together, text)

@@ -78,7 +78,7 @@ HARMLESS = [
     r"\bsick (?:moves?|beats?|tricks?|edits?)\b", r"\b(?:stupid|sick|insanely|crazy) (?:good|talented|fast|funny|cute)\b", r"\bkilled it\b", r"\bhits? so hard\b", r"\bhate that i missed\b", r"\bkill the lights\b",
     r"\bnaked cake\b", r"\brat terriers?\b", r"\bugly sweaters?\b", r"\bugly duckling\b", r"\bclown (?:nose|fish|costume)s?\b", r"\bpunch a\b.*?\bbag\b", r"\bbreast cancer\b", r"\bcocktails?\b", r"\bassassin\b", r"\battack level\b",
     r"\bdumb question\b", r"\bdie in (?:this|that|the) game\b", r"\b(?:hot|corn) dogs?\b", r"\bdogs?\b", r"\bsnakes?\b(?= (?:plant|game))", r"\bpower tools?\b", r"\bfool'?s gold\b", r"\blame duck\b", r"\bworm hole\b", r"\bcomic strip\b|\bstrip mall\b",
-    r"\bwhy is nobody\b", r"\bnobody (?:is )?(?:talking|explained|knows|told|saw|noticed|asked|said)\b", r"\bcall me maybe\b", r"\bsex(?:ual)? education\b", r"\bjokes?\b(?! (?:of|and everybody))", r"\bbeat (?:the|my|that|this) (?:level|game|boss|record)\b",
+    r"\bwhy is nobody\b", r"\bnobody (?:is )?(?:talking|explained|knows|told|saw|noticed|asked|said)\b", r"\bcall me maybe\b", r"\bsex(?:ual)? education\b", r"(?<!\b(?:only|such) an? )\bjokes?\b(?! (?:of|and everybody|would))", r"\bbeat (?:the|my|that|this) (?:level|game|boss|record)\b",
 ]
 # Reported or quoted abuse, objections to it, and mockery of oneself.
 REPORTING = [

@@ -103,6 +103,8 @@ class Finder:
         self.address, self.word = regex.compile(ADDRESS, i), regex.compile(_WORD)
         self.vague = regex.compile(r"\s(?:way|close|place|drive|square|court)$")  # common words as well
         self.label = regex.compile(r"(\p{L}+)[\s:#.]*\s?$")
+        self.dialled = regex.compile(r"1?[2-9]\d\d[2-9]\d{6}|0\d{9,10}")
+        self.next = regex.compile(r"\s(\p{L}+)")
         self.digits = regex.compile(r"\p{Nd}")
         self.after = regex.compile(r"^\s*,?\s*(?:apt\b|unit\b|be there|\p{Lu}\p{L}+)", 0)
 
@@ -126,6 +128,11 @@ class Finder:
             found = self.label.search(text[max(0, a - 40) : a])
             return _fold(found[1]) if found else ""
 
+        def follows(b: int) -> str:
+            """The word right after a number that no label precedes, marked as such."""
+            found = self.next.match(text[b : b + 40])
+            return ">" + _fold(found[1]) if found else ""
+
         for m in self.email.finditer(text):
             settle("email", *m.span())
         for m in self.id_cued.finditer(text):
@@ -144,8 +151,12 @@ class Finder:
                 if not free(a, b) or not 7 <= number <= 15:
                     continue
                 taken.append((a, b))
-                cued = bool(self.phone_cue.search(nearby(a, b)))
-                opened.append(("phone" if plain or cued else "phone_bare", a, b, before(a), cued))
+                # a country code or an area code in brackets is as good as a cue
+                cued = m[0][0] in "+(" or bool(self.phone_cue.search(nearby(a, b)))
+                term = before(a)
+                sure = plain or cued or not term and self.dialled.fullmatch(m[0])
+                term = term or follows(b)
+                opened.append(("phone" if sure else "phone_bare", a, b, term, cued))
         for m in self.address.finditer(text):
             if not free(*m.span()):
                 continue
@@ -248,7 +259,7 @@ def find_personal(df: DataFrame, record: str, text: str, threshold: float = THRE
     terms = terms.join(F.broadcast(totals), "form")  # one row for each form
     # share of the term's forms that a cue settles, against the share of all
     against = (F.col("term") != "") & (F.col("n") >= MIN_EVIDENCE) & (F.col("both") / F.col("n") < 0.25 * F.col("entity") / F.col("all"))
-    in_favour = (F.col("term") != "") & (F.col("n") >= MIN_EVIDENCE) & (F.col("both") / F.col("n") >= 0.5)
+    in_favour = (F.col("term") != "") & (F.col("n") >= MIN_EVIDENCE) & (F.col("both") / F.col("n") >= 0.3 * F.col("entity") / F.col("all"))
     verdicts = terms.select("form", "term", against.alias("against"), in_favour.alias("for"))
     judged = opened.join(verdicts, ["form", "term"])
     # an SSN-like number takes a label that names nothing else; bare digits take one that names phones
