@@ -51,8 +51,8 @@ def session_match(matches: DataFrame, session: str) -> DataFrame:
 def aligner_features(matches: DataFrame, session: str, high: float = 0.7, low: float = 0.3) -> DataFrame:
     """Per session from prototype scores 0.7 max + 0.3 mean: bands, the mean of the best three, the
     self-weighted mean, and whether the best reaches the decision of 0.6."""
-    per = matches.groupBy(session, "prototype").agg((0.7 * F.max("similarity") + 0.3 * F.avg("similarity")).alias("s"))
-    s = F.col("s")
+    per = matches.groupBy(session, "prototype").agg((0.7 * F.max("similarity") + 0.3 * F.avg("similarity")).alias("_s"))
+    s = F.col("_s")
     out = per.groupBy(session).agg(
         F.max(s).alias("best"), F.avg(s).alias("mean"), F.count_if(s >= high).alias("high"), F.count_if((s >= low) & (s < high)).alias("medium"), F.count_if(s < low).alias("low"),
         F.coalesce(F.sum(s * s) / F.nullif(F.sum(s), F.lit(0.0)), F.lit(0.0)).alias("self_weighted"), F.slice(F.sort_array(F.collect_list(s), asc=False), 1, 3).alias("_top"),

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 COMMENT_SCHEMA = ", ".join(
     f"{c} string" for c in "postId commentId userId username commentText created location description verified private avatarUrl parentCommentId".split()
 )
+_BUILT_IN = ("utf-8", "us-ascii", "iso-8859-1", "utf-16", "utf-16be", "utf-16le", "utf-32")
 ENCODINGS = ("utf-8", "gbk", "cp1252", "iso-8859-1")
 
 
@@ -34,8 +35,15 @@ def probe_encoding(spark: SparkSession, path: str, encodings: tuple[str, ...] =
 
 
 def read_csv(spark: SparkSession, path: str, schema: str | None = None, limit: int | None = None, encoding: str | None = None) -> DataFrame:
-    """CSV with a header.  Without a schema all columns are strings: no pass over the data to infer one."""
-    reader = spark.read.option("header", True).option("multiLine", True).option("escape", '"').option("encoding", encoding or probe_encoding(spark, path))
+    """CSV with a header.  Without a schema all columns are strings: no pass over the data to infer one.
+
+    Encodings beyond Spark's short list need its setting for all Java character sets, which is turned on
+    for the session when one is met.
+    """
+    encoding = encoding or probe_encoding(spark, path)
+    if encoding.lower() not in _BUILT_IN:
+        spark.conf.set("spark.sql.legacy.javaCharsets", "true")
+    reader = spark.read.option("header", True).option("multiLine", True).option("escape", '"').option("encoding", encoding)
     df = (reader.schema(schema) if schema else reader).csv(path)
     return df.limit(limit) if limit is not None else df
 
