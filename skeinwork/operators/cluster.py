@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skeinwork.functions.vectors import distance, dot
-from skeinwork.operators.components import hash_to_min
+from skeinwork.operators.components import star_components
 from skeinwork.storage import Stash
 
 
@@ -46,7 +46,7 @@ def dbscan(df: DataFrame, key: str, columns: list[str], eps: float, least: int,
     links = pairs.join(core.select("k"), "k", "left_semi").join(core.select(F.col("k").alias("q")), "q", "left_semi").select("cell", "qcell").distinct()
     named = core_cells.select(F.col("cell").alias("c"), "head")
     edges = links.join(named.select(F.col("c").alias("cell"), F.col("head").alias("a")), "cell").join(named.select(F.col("c").alias("qcell"), F.col("head").alias("b")), "qcell").select("a", "b")
-    labels = hash_to_min(stash.put(edges), stash)
+    labels = star_components(stash.put(edges), stash)
     clusters = stash.put(core_cells.join(labels, F.col("head") == F.col("node"), "left").select("cell", F.coalesce("component", "head").alias("cluster")))
     of_core = core.join(clusters, "cell").select("k", "cluster")
     same_cell = points.join(clusters, "cell").select("k", "cluster")

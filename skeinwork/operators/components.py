@@ -8,11 +8,11 @@ from pyspark.sql import functions as F
 from skeinwork.storage import Stash
 
 
-def hash_to_min(edges: DataFrame, stash: Stash | None = None) -> DataFrame:
+def star_components(edges: DataFrame, stash: Stash | None = None) -> DataFrame:
     """``node, component`` for every node of ``edges`` (a, b); the component is its least node.
 
-    Two steps in turn, until nothing changes: every node links its larger neighbours to its least one,
-    and then all neighbours but the larger ones.  Edges stay rows throughout; a hub's are never gathered.
+    Large-star and small-star steps in turn, until nothing changes: every node links its larger neighbours
+    to its least one, and then its smaller neighbours and itself to the least.  Edges stay rows throughout; a hub's are never gathered.
     """
     stash = stash or Stash(edges.sparkSession, "components")
     now = stash.put(edges.select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).distinct())

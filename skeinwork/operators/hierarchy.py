@@ -58,20 +58,16 @@ class _Step:
     trails: bool
 
     def joined(self) -> list[Column]:
-        cols = [
-            F.coalesce(F.col("s.ptr"), F.col("t.ptr")).alias("ptr"),
-            (F.col("t.dist") + F.coalesce(F.col("s.dist"), F.lit(0))).alias("dist"),
-            F.least(F.col("t.low"), F.col("s.low")).alias("low"),
-        ]
-        if self.trails:
-            cols.append(F.concat(F.col("t.trail"), F.coalesce(F.col("s.trail"), F.array().cast("array<string>"))).alias("trail"))
-        return cols
+        cols = [F.col("s.ptr").alias("ptr"), (F.col("t.dist") + F.col("s.dist")).alias("dist"), F.least("t.low", "s.low").alias("low")]
+        return [*cols, F.concat("t.trail", "s.trail").alias("trail")] if self.trails else cols
 
 
 def _jump(stash: Stash, table: DataFrame, step: _Step) -> tuple[DataFrame, DataFrame]:
     """Advance all open pointers to a terminal node; returns (settled, never settling).
 
-    ``table``: node, ptr, dist, low, done[, trail]; a row is done when ptr is terminal.  A round that
+    ``table``: node, ptr, dist, low, done[, trail]; a row is done when ptr is terminal, and every ptr is a
+    node of the table.  So the join is an inner one, and once few rows are open the planner may send them
+    to the table instead of shuffling it.  A round that
     settles nothing proves that the open rest never will: were a node at distance d > 2^r from a
     terminal still open, the nodes between it and the terminal would have settled in that round.
     """
@@ -81,9 +77,7 @@ def _jump(stash: Stash, table: DataFrame, step: _Step) -> tuple[DataFrame, DataF
     while left:
         t, s = open_rows.alias("t"), step_table.alias("s")
         moved = stash.put(
-            t.join(s, F.col("t.ptr") == F.col("s.node"), "left").select(
-                F.col("t.node").alias("node"), *step.joined(), F.coalesce(F.col("s.done"), F.lit(False)).alias("done")
-            )
+            t.join(s, F.col("t.ptr") == F.col("s.node")).select(F.col("t.node").alias("node"), *step.joined(), F.col("s.done").alias("done"))
         )
         done_parts.append(moved.where("done"))
         open_rows = moved.where("NOT done")
@@ -174,7 +168,10 @@ def resolve(links: DataFrame, paths: bool = False, _stash: Stash | None = None)
     tops = splitters.where("is_root").select(F.col("node").alias("top"))
     reduced = walked.join(splitters.select("node"), "node", "left_semi")
     reduced = reduced.drop("done").join(tops, F.col("ptr") == F.col("top"), "left")
-    reduced = stash.put(reduced.withColumn("done", F.col("top").isNotNull()).drop("top"))
+    reduced = reduced.withColumn("done", F.col("top").isNotNull()).drop("top")
+    # splitters whose own walk never ends stand for themselves, so that pointers to them lead somewhere
+    lost = endless.join(splitters.select("node"), "node", "left_semi").withColumn("ptr", F.col("node")).withColumn("dist", F.lit(0).cast("bigint")).withColumn("low", F.col("node"))
+    reduced = stash.put(reduced.unionByName(lost.select(reduced.columns)))
     solved, circular = _jump(stash, reduced, step)
 
     up = solved.select(

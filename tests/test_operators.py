@@ -103,7 +103,7 @@ def test_co_comments(spark, block):
 
 def test_components(spark):
     links = [(f"n{i:03}", f"n{i + 1:03}") for i in range(60)] + [("x", "y"), ("z", "z"), ("b", "a")]
-    got = {r["node"]: r["component"] for r in components.hash_to_min(spark.createDataFrame(links, "a string, b string")).collect()}
+    got = {r["node"]: r["component"] for r in components.star_components(spark.createDataFrame(links, "a string, b string")).collect()}
     assert {got[f"n{i:03}"] for i in range(61)} == {"n000"} and got["y"] == "x" and got["z"] == "z" and got["b"] == "a"
 
 
