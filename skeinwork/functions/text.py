@@ -138,3 +138,48 @@ def negative_score(share: Column, hits: Column, upper: Column, marks: Column) ->
 
 def is_negative(share: Column, hits: Column, upper: Column, marks: Column) -> Column:
     return (share > 0.1) | ((hits >= 1) & (upper > 0.3)) | (hits >= 2) | ((hits >= 1) & (marks >= 2))
+
+
+# Weight of each category of aggressive words.
+CATEGORY_WEIGHTS = {"insults": 0.8, "threats": 1.0, "profanity": 0.6, "mockery": 0.5}
+
+
+def words_present(text: Column, words: list[str]) -> Column:
+    """How many of the listed words occur anywhere in the text."""
+    return reduce(lambda a, b: a + b, [F.contains(text, F.lit(w)).cast("int") for w in words])
+
+
+def rule_aggression(text: Column) -> Column:
+    """Weighted word hits, raised by negations, intensifiers, capitals and marks, damped for long texts,
+    through 1 / (1 + exp(2 - x)); 0 for blank text."""
+    low = F.regexp_replace(F.trim(F.lower(text)), r"\s+", " ")
+    n = F.size(F.split(low, " "))
+    hits = reduce(lambda a, b: a + b, [category_hits(low, w) * CATEGORY_WEIGHTS[c] for c, w in L.AGGRESSION.items()])
+    marks, questions = count_matches(text, "!"), count_matches(text, r"\?")
+    raised = hits * (1 + 0.2 * words_present(low, L.NEGATIONS)) * (1 + 0.3 * words_present(low, list(L.INTENSIFIERS)))
+    raised = raised * F.when(upper_ratio(text) > 0.3, 1.2).otherwise(1.0) * (1 + 0.1 * marks) * F.when(questions > 1, 1 + 0.05 * questions).otherwise(1.0)
+    damped = raised * F.when(n > 20, 20.0 / n).otherwise(1.0)
+    return F.when(low == "", 0.0).otherwise(1 / (1 + F.exp(2 - damped)))
+
+
+# Fixed values.
+THREAT_PATTERNS = ["(kill|die|death|hurt|harm).*you", "you.*should.*(die|kill)", "go.*kill.*yourself", "i.*will.*(kill|hurt|destroy)"]
+
+
+def rule_toxicity(text: Column) -> Column:
+    """min(1, 0.4 toxic words present + 0.6 threat patterns found)."""
+    low = F.lower(text)
+    threats = reduce(lambda a, b: a + b, [low.rlike(p).cast("int") for p in THREAT_PATTERNS])
+    return F.least(F.lit(1.0), 0.4 * words_present(low, L.AGGRESSION["profanity"] + L.AGGRESSION["threats"]) + 0.6 * threats)
+
+
+def grammar_features(text: Column) -> dict[str, Column]:
+    """Intensities of capitals, marks and repeats for the length, and whether sentences are very short."""
+    size = F.nullif(F.char_length(text), F.lit(0))
+    per = lambda n, k: F.coalesce(F.least(F.lit(1.0), n / size * k), F.lit(0.0))
+    sentences = F.filter(F.split(text, r"[.!?]+"), lambda s: F.trim(F.regexp_replace(s, r"\s+", " ")) != "")
+    words = F.aggregate(sentences, F.lit(0), lambda a, s: a + F.size(F.split(F.trim(F.regexp_replace(s, r"\s+", " ")), " ")))
+    return {
+        "uppercase": F.least(F.lit(1.0), upper_ratio(text) * 3), "exclamation": per(count_matches(text, "!"), 50), "question": per(count_matches(text, r"\?"), 50),
+        "repetition": per(count_matches(text, r"(.)\1{2,}"), 20), "short_sentences": F.when(words / F.nullif(F.size(sentences), F.lit(0)) < 3, 0.3).otherwise(0.0),
+    }

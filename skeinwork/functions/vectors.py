@@ -45,3 +45,13 @@ def standardise_sample(df: DataFrame, columns: list[str], eps: float = 1e-6) ->
     """(x - mean) / (sample deviation + eps) for each column."""
     stats = df.agg(*[e for c in columns for e in (F.avg(c).alias(f"{c}_low"), (F.stddev_samp(c) + eps).alias(f"{c}_span"))])
     return scale(df, columns, stats)
+
+
+def moments(a: Column) -> dict[str, Column]:
+    """Mean, population variance, mean absolute value, norm and skewness (0 without spread) of an array."""
+    n = F.size(a)
+    total = lambda f: F.aggregate(F.transform(a, lambda v: f(v.cast("double"))), F.lit(0.0), lambda s, v: s + v)
+    mean = total(lambda v: v) / n
+    variance = total(lambda v: (v - mean) * (v - mean)) / n
+    third = total(lambda v: (v - mean) * (v - mean) * (v - mean)) / n
+    return {"mean": mean, "variance": variance, "mean_abs": total(F.abs) / n, "norm": norm(a), "skewness": F.when(variance > 0, third / F.pow(variance, 1.5)).otherwise(0.0)}

@@ -113,3 +113,52 @@ def top_prototypes(rated: DataFrame, least_size: int, least_purity: float, k: in
 def consistency(value: Column) -> Column:
     """1 - coefficient of variation, at least 0."""
     return F.greatest(F.lit(0.0), 1 - F.coalesce(F.stddev_pop(value) / F.nullif(F.abs(F.avg(value)), F.lit(0.0)), F.lit(0.0)))
+
+
+def weighted_centres(members: DataFrame, cluster: str, features: str, weight: str) -> DataFrame:
+    """``cluster, centroid``: means of the features weighted by a column."""
+    each = members.select(cluster, F.col(weight).alias("_w"), F.posexplode(features).alias("at", "v")).groupBy(cluster, "at").agg((F.sum(F.col("_w") * F.col("v")) / F.sum("_w")).alias("m"))
+    return each.groupBy(cluster).agg(F.array_sort(F.collect_list(F.struct("at", "m"))).alias("_c")).select(cluster, F.col("_c.m").alias("centroid"))
+
+
+def weighted_quality(members: DataFrame, cluster: str, key: str, features: str, weight: str, share: float = 0.3) -> DataFrame:
+    """Per cluster: ``size, quality, representative``.
+
+    quality: 1 / (1 + weighted mean distance to the weighted centre) + min(deviation of the weights / 10,
+    0.2) + ``share`` of members weighing above 1, at most 1.  The representative has the least distance
+    over weight, the least key on a tie.
+    """
+    far = members.join(weighted_centres(members, cluster, features, weight), cluster).select(cluster, F.col(key).alias("_k"), F.col(weight).alias("_w"), distance(F.col(features), F.col("centroid")).alias("_d"))
+    out = far.groupBy(cluster).agg(
+        F.count("*").alias("size"), (F.sum(F.col("_w") * F.col("_d")) / F.sum("_w")).alias("cohesion"), F.stddev_pop("_w").alias("spread"), F.avg((F.col("_w") > 1).cast("int")).alias("heavy"),
+        F.min(F.struct(F.round(F.col("_d") / F.col("_w"), 9).alias("d"), F.col("_k").alias("k"))).alias("r"),
+    )
+    score = 1 / (1 + F.col("cohesion")) + F.least(F.lit(0.2), 0.1 * F.col("spread")) + share * F.col("heavy")
+    return out.select(cluster, "size", F.least(F.lit(1.0), score).alias("quality"), F.col("r.k").alias("representative"))
+
+
+def merge_similar(prototypes: DataFrame, key: str, features: str, size: str, least: float = 0.8) -> DataFrame:
+    """``key, merged_into``: in order of size (greatest first, then key) each prototype joins the first kept
+    one with a cosine above ``least``, else is kept.  The order decides, so this runs in one task; it is
+    for a report's top prototypes, a table refused above 10,000 rows."""
+    kind = prototypes.schema[key].dataType.simpleString()
+    if prototypes.limit(10_001).count() > 10_000:
+        raise ValueError("too many prototypes to merge in order")
+
+    def merge(frame):
+        import numpy as np
+        import pandas as pd
+
+        frame = frame.sort_values([size, key], ascending=[False, True])
+        x = np.stack(frame[features].to_numpy()) if len(frame) else np.zeros((0, 1))
+        x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+        kept, into = [], []
+        for i in range(len(frame)):
+            close = [j for j in kept if x[j] @ x[i] > least]
+            into.append(close[0] if close else i)
+            if not close:
+                kept.append(i)
+        keys = frame[key].to_numpy()
+        return pd.DataFrame({key: keys, "merged_into": [keys[j] for j in into]})
+
+    return prototypes.select(key, features, size, F.lit(0).alias("_all")).groupBy("_all").applyInPandas(merge, f"{key} {kind}, merged_into {kind}")

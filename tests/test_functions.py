@@ -78,3 +78,25 @@ def test_scores(spark):
     assert [one(spark, users.level(F.lit(v))) for v in (0.7, 0.4, 0.1, 0.05)] == ["high", "medium", "low", "none"]
     s = spark.createDataFrame([(-0.5,), (-0.4,), (None,)], "v double")
     assert [tuple(r) for r in scoring.sweep(s, "v", [-0.45]).collect()] == [(-0.45, 1, 1, 0.5)]
+
+
+def test_rule_scores(spark):
+    import math
+
+    assert round(one(spark, X.rule_aggression(F.lit("stupid idiot"))), 6) == round(1 / (1 + math.exp(2 - 1.6)), 6)
+    assert one(spark, X.rule_aggression(F.lit("  "))) == 0
+    assert round(one(spark, X.rule_toxicity(F.lit("i will hurt you"))), 6) == 1.0
+    g = X.grammar_features(F.lit("No!! Go. aaaa bbb"))
+    assert round(one(spark, g["exclamation"]), 6) == 1.0 and one(spark, g["short_sentences"]) == 0.3
+    assert round(one(spark, g["repetition"]), 6) == 1.0
+    assert one(spark, X.grammar_features(F.lit(""))["short_sentences"]) == 0.0
+
+
+def test_moments_and_encoder(spark):
+    from skeinwork.functions.encoders import encode_texts
+
+    m = V.moments(F.array(F.lit(1.0), F.lit(2.0), F.lit(6.0)))
+    assert round(one(spark, m["variance"]), 6) == round(14 / 3, 6) and one(spark, m["skewness"]) > 0
+    df = spark.createDataFrame([("a", "some text"), ("b", None), ("c", ""), ("d", "some text")], "k string, t string")
+    v = {r["k"]: r["vector"] for r in encode_texts(df, "k", "t").collect()}
+    assert v["a"] == v["d"] and v["b"] == v["c"] and len(v["a"]) == 64

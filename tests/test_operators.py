@@ -210,3 +210,14 @@ def test_user_windows(spark):
     df = spark.createDataFrame([("u", 9, 1), ("u", 14, 2), ("u", 14, 3), ("u", 9, 4)], "u string, h int, t int")
     assert tuple(users.peak(df, "u", F.col("h"), [F.col("t")]).first()) == ("u", 9, 2)
     assert users.histogram(df, "u", F.col("h"), [9, 10, 14]).first()["counts"] == [2, 0, 2]
+
+
+def test_weighted_quality_and_merging(spark):
+    rows = [(0, "a", [0.0, 0.0], 1.0), (0, "b", [4.0, 0.0], 3.0), (1, "c", [1.0, 1.0], 1.0)]
+    df = spark.createDataFrame(rows, "c int, k string, x array<double>, w double")
+    q = {r["c"]: r for r in cluster.weighted_quality(df, "c", "k", "x", "w").collect()}
+    # centre 3; distances 3 and 1; weighted mean 1.5; deviation of weights 1; half weigh above one
+    assert q[0]["quality"] == pytest.approx(1 / 2.5 + 0.1 + 0.15) and q[0]["representative"] == "b"
+    assert q[1]["quality"] == 1 and q[1]["representative"] == "c"
+    p = spark.createDataFrame([(1, [1.0, 0.0], 5), (2, [0.9, 0.1], 9), (3, [0.0, 1.0], 7), (4, [0.0, 0.0], 1)], "p int, x array<double>, n int")
+    assert {r["p"]: r["merged_into"] for r in cluster.merge_similar(p, "p", "x", "n").collect()} == {1: 2, 2: 2, 3: 3, 4: 4}
