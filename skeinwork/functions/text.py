@@ -77,7 +77,10 @@ def occurrences(text: Column, word: str) -> Column:
 
 
 def category_hits(text: Column, words: list[str]) -> Column:
-    return reduce(lambda a, b: a + b, [occurrences(text, w) for w in words])
+    """Occurrences of all listed words.  The list is an array, not a chain of expressions: generated code
+    stays small for long lists.  ``text`` should be a plain column, as it is looked at once a word."""
+    each = lambda a, w: a + (F.char_length(text) - F.char_length(F.replace(text, w))) / F.char_length(w)
+    return F.aggregate(F.array(*[F.lit(w) for w in words]), F.lit(0.0), each)
 
 
 def pattern_score(text: Column, patterns: list[tuple[str, float]] | None = None) -> Column:
@@ -146,13 +149,16 @@ CATEGORY_WEIGHTS = {"insults": 0.8, "threats": 1.0, "profanity": 0.6, "mockery":
 
 def words_present(text: Column, words: list[str]) -> Column:
     """How many of the listed words occur anywhere in the text."""
-    return reduce(lambda a, b: a + b, [F.contains(text, F.lit(w)).cast("int") for w in words])
+    return F.size(F.filter(F.array(*[F.lit(w) for w in words]), lambda w: F.contains(text, w)))
 
 
-def rule_aggression(text: Column) -> Column:
+def plain_lower(text: Column) -> Column:
+    return F.regexp_replace(F.trim(F.lower(text)), r"\s+", " ")
+
+
+def rule_aggression(text: Column, low: Column) -> Column:
     """Weighted word hits, raised by negations, intensifiers, capitals and marks, damped for long texts,
-    through 1 / (1 + exp(2 - x)); 0 for blank text."""
-    low = F.regexp_replace(F.trim(F.lower(text)), r"\s+", " ")
+    through 1 / (1 + exp(2 - x)); 0 for blank text.  ``low`` is the column of :func:`plain_lower`."""
     n = F.size(F.split(low, " "))
     hits = reduce(lambda a, b: a + b, [category_hits(low, w) * CATEGORY_WEIGHTS[c] for c, w in L.AGGRESSION.items()])
     marks, questions = count_matches(text, "!"), count_matches(text, r"\?")
@@ -166,9 +172,8 @@ def rule_aggression(text: Column) -> Column:
 THREAT_PATTERNS = ["(kill|die|death|hurt|harm).*you", "you.*should.*(die|kill)", "go.*kill.*yourself", "i.*will.*(kill|hurt|destroy)"]
 
 
-def rule_toxicity(text: Column) -> Column:
-    """min(1, 0.4 toxic words present + 0.6 threat patterns found)."""
-    low = F.lower(text)
+def rule_toxicity(low: Column) -> Column:
+    """min(1, 0.4 toxic words present + 0.6 threat patterns found) of lower-case text."""
     threats = reduce(lambda a, b: a + b, [low.rlike(p).cast("int") for p in THREAT_PATTERNS])
     return F.least(F.lit(1.0), 0.4 * words_present(low, L.AGGRESSION["profanity"] + L.AGGRESSION["threats"]) + 0.6 * threats)
 

@@ -49,14 +49,15 @@ def dedupe(subgraphs: DataFrame, key: str = "subgraph_id", typed: bool = True) -
     return rows.groupBy("session_no", "_k").agg(F.min(key).alias(key), F.count_distinct(key).alias("copies")).drop("_k")
 
 
-def structure(subgraphs: DataFrame, key: str = "subgraph_id") -> DataFrame:
-    """Per row: counts by type, nodes, edges, density 2E / (n (n - 1)), share of types present."""
+def structure(subgraphs: DataFrame, key: str = "subgraph_id", *keep: str) -> DataFrame:
+    """Per row: counts by type, nodes, edges, density 2E / (n (n - 1)), share of types present; the columns of
+    ``keep`` come along."""
     n = {t: count_of(F.col("nodes"), t) for t in TYPES}
     total = F.size(node_list(F.col("nodes")))
     e = edge_count(F.col("edges"))
     present = sum(((c > 0).cast("int") for c in n.values()), F.lit(0))
     return subgraphs.select(
-        key, *[c.alias(f"n_{t}") for t, c in n.items()], total.alias("n_nodes"), e.alias("n_edges"),
+        key, *keep, *[c.alias(f"n_{t}") for t, c in n.items()], total.alias("n_nodes"), e.alias("n_edges"),
         F.when(total > 1, 2 * e / (total * (total - 1))).otherwise(0.0).alias("density"), (present / len(TYPES)).alias("diversity"),
     )
 

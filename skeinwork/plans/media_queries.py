@@ -17,12 +17,13 @@ from skeinwork.plans.views import NODES, VIDEOS, nodes, read, subgraphs
 
 
 def rule_aggression(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return nodes(spark, sf_dir).where("comment_text IS NOT NULL").select("id", F.round(X.rule_aggression(F.col("comment_text")), 6).alias("score"))
+    n = nodes(spark, sf_dir).where("comment_text IS NOT NULL").select("id", "comment_text", X.plain_lower(F.col("comment_text")).alias("low"))
+    return n.select("id", F.round(X.rule_aggression(F.col("comment_text"), F.col("low")), 6).alias("score"))
 
 
 def rule_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = F.regexp_replace("comment_text", r"\s+", " ")
-    return nodes(spark, sf_dir).where("comment_text IS NOT NULL").select("id", F.round(X.rule_toxicity(t), 6).alias("score"))
+    n = nodes(spark, sf_dir).where("comment_text IS NOT NULL").select("id", F.lower(F.regexp_replace("comment_text", r"\s+", " ")).alias("low"))
+    return n.select("id", F.round(X.rule_toxicity(F.col("low")), 6).alias("score"))
 
 
 def grammar_intensity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -90,7 +91,7 @@ _RICH = ["comment_ratio", "user_ratio", "word_ratio", "video_ratio", "aggression
 
 def subgraph_feature_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sizes, shares by type, density, aggression, interaction, and the weight by the session's verdict."""
-    s = subgraph_structure(spark, sf_dir).join(subgraphs(spark, sf_dir).select("subgraph_id", "session_no", "emotion_score"), "subgraph_id")
+    s = subgraph_structure(spark, sf_dir).join(subgraphs(spark, sf_dir, "emotion_score").select("subgraph_id", "session_no", "emotion_score"), "subgraph_id")
     verdicts = prepare.label_verdicts(read(spark, sf_dir, "session_labels")).select("session_no", "is_bullying")
     s = s.join(verdicts, "session_no", "left")
     n, e = F.col("n_nodes"), F.col("n_edges")

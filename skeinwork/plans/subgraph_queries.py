@@ -15,44 +15,44 @@ from skeinwork.sources.writers import subgraph_index
 
 
 def subgraph_structure(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = S.structure(subgraphs(spark, sf_dir))
+    s = S.structure(subgraphs(spark, sf_dir, "nodes", "edges"))
     return s.withColumns({"density": F.round("density", 6), "diversity": F.round("diversity", 6)})
 
 
 def subgraph_edge_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Edges counted truly, and as twice the number of relations that have any."""
-    return subgraphs(spark, sf_dir).select("subgraph_id", S.edge_count(F.col("edges")).alias("n_edges"), S.edge_count_compat(F.col("edges")).alias("n_edges_compat"))
+    return subgraphs(spark, sf_dir, "edges").select("subgraph_id", S.edge_count(F.col("edges")).alias("n_edges"), S.edge_count_compat(F.col("edges")).alias("n_edges_compat"))
 
 
 def subgraph_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.dedupe(subgraphs(spark, sf_dir))
+    return S.dedupe(subgraphs(spark, sf_dir, "nodes"))
 
 
 def subgraph_dedupe_untyped(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.dedupe(subgraphs(spark, sf_dir), typed=False)
+    return S.dedupe(subgraphs(spark, sf_dir, "nodes"), typed=False)
 
 
 def subgraph_validity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.validity(subgraphs(spark, sf_dir)).select("subgraph_id", "subgraph_type")
+    return S.validity(subgraphs(spark, sf_dir, "nodes", "subgraph_type")).select("subgraph_id", "subgraph_type")
 
 
 def subgraph_connectivity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.connected_share(subgraphs(spark, sf_dir)).withColumn("share", F.round("share", 6))
+    return S.connected_share(subgraphs(spark, sf_dir, "edges")).withColumn("share", F.round("share", 6))
 
 
 def subgraph_type_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = subgraphs(spark, sf_dir).withColumn("n", F.size(S.node_list(F.col("nodes"))))
+    s = subgraphs(spark, sf_dir, "nodes", "subgraph_type").withColumn("n", F.size(S.node_list(F.col("nodes"))))
     return s.groupBy("subgraph_type", "n").agg(F.count("*").alias("subgraphs"), F.count_distinct("session_no").alias("sessions"))
 
 
 def subgraph_session_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = subgraphs(spark, sf_dir).where("session_no IS NOT NULL").select(F.col("session_no").alias("session_id"), F.size(S.node_list(F.col("nodes"))).alias("total_nodes"))
+    s = subgraphs(spark, sf_dir, "nodes").where("session_no IS NOT NULL").select(F.col("session_no").alias("session_id"), F.size(S.node_list(F.col("nodes"))).alias("total_nodes"))
     return subgraph_index(s).withColumn("mean_size", F.round("mean_size", 6))
 
 
 def _members(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``subgraph_id, session_no, type, id``: the distinct nodes of each subgraph."""
-    s = subgraphs(spark, sf_dir)
+    s = subgraphs(spark, sf_dir, "nodes")
     e = s.select("subgraph_id", "session_no", F.explode(F.map_entries("nodes")).alias("e")).select("subgraph_id", "session_no", F.col("e.key").alias("type"), F.explode("e.value").alias("id"))
     return e.where("id IS NOT NULL").distinct()
 
@@ -65,7 +65,7 @@ def capped_session_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def induced_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each subgraph, the edges of its session with both ends among its nodes."""
-    s = subgraphs(spark, sf_dir)
+    s = subgraphs(spark, sf_dir, "edges")
     ends = {"user_posts_comment": ("user", "comment"), "comment_contains_word": ("comment", "word"), "video_contains_comment": ("video", "comment"), "user_interacts_user": ("user", "user")}
     each = s.select("session_no", F.explode(F.map_entries("edges")).alias("e")).select("session_no", F.col("e.key").alias("rel"), F.explode("e.value").alias("x")).select("session_no", "rel", "x.src", "x.dst").where("session_no IS NOT NULL").distinct()
     src = F.create_map(*[F.lit(v) for k, (a, _) in ends.items() for v in (k, a)])
@@ -131,7 +131,7 @@ def threshold_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def negative_subgraph_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per session: subgraphs, those below -0.4, and their share."""
-    s = subgraphs(spark, sf_dir).where("session_no IS NOT NULL AND emotion_score IS NOT NULL")
+    s = subgraphs(spark, sf_dir, "emotion_score").where("session_no IS NOT NULL AND emotion_score IS NOT NULL")
     g = s.groupBy("session_no").agg(F.count("*").alias("subgraphs"), F.count_if(F.col("emotion_score") < -0.4).alias("kept"))
     return g.withColumn("share", F.round(F.col("kept") / F.col("subgraphs"), 6))
 
@@ -139,23 +139,23 @@ def negative_subgraph_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 def emotion_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     from skeinwork.operators.users import population
 
-    p = population(subgraphs(spark, sf_dir), "emotion_score", "subgraph_type")
+    p = population(subgraphs(spark, sf_dir, "emotion_score", "subgraph_type"), "emotion_score", "subgraph_type")
     return p.select("subgraph_type", "n", *[F.round(c, 6).alias(c) for c in ("mean", "deviation", "least", "greatest", "median")])
 
 
 def size_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cluster.size_bins(subgraphs(spark, sf_dir).withColumn("n", F.size(S.node_list(F.col("nodes")))), "n").withColumn("bin", F.col("bin").cast("int"))
+    return cluster.size_bins(subgraphs(spark, sf_dir, "nodes").withColumn("n", F.size(S.node_list(F.col("nodes")))), "n").withColumn("bin", F.col("bin").cast("int"))
 
 
 def tertile_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = subgraphs(spark, sf_dir).where("emotion_score IS NOT NULL").select("subgraph_id", "emotion_score")
+    s = subgraphs(spark, sf_dir, "emotion_score").where("emotion_score IS NOT NULL").select("subgraph_id", "emotion_score")
     return cluster.quantile_bins(s, "emotion_score", [0.33, 0.67]).select("subgraph_id", "bin")
 
 
 def _feature_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``subgraph_id, session_no, label, bin, x``: structural features, the session's verdict, size bin."""
-    s = subgraphs(spark, sf_dir)
-    f = S.structure(s).join(s.select("subgraph_id", "session_no"), "subgraph_id")
+    s = subgraphs(spark, sf_dir, "nodes", "edges")
+    f = S.structure(s, "subgraph_id", "session_no")
     verdicts = prepare.label_verdicts(read(spark, sf_dir, "session_labels")).select("session_no", F.col("is_bullying").alias("label"))
     x = F.array(*[F.col(c).cast("double") for c in ("n_comment", "n_user", "n_word", "n_video", "n_edges", "density")])
     return f.join(verdicts, "session_no").select("subgraph_id", "session_no", "label", F.floor(F.col("n_nodes") / 4).cast("int").alias("bin"), x.alias("x"))
@@ -193,7 +193,7 @@ def dbscan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Similarity of every subgraph to the medoids of the prototypes."""
-    s = S.structure(subgraphs(spark, sf_dir)).join(subgraphs(spark, sf_dir).select("subgraph_id", "session_no"), "subgraph_id").where("session_no IS NOT NULL")
+    s = S.structure(subgraphs(spark, sf_dir, "nodes", "edges"), "subgraph_id", "session_no").where("session_no IS NOT NULL")
     cols = ["n_comment", "n_user", "n_word", "n_video"]
     p = prototypes(spark, sf_dir).join(s, F.col("medoid") == F.col("subgraph_id")).select("prototype", *[F.col(c).alias(f"p_{c}") for c in cols], F.col("n_nodes").alias("p_nodes"), F.col("density").alias("p_density"))
     both = s.join(F.broadcast(p), how="cross")  # 15 prototypes at most

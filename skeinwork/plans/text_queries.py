@@ -89,9 +89,8 @@ def negative_score_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def lexicon_category_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = F.lower("comment_text")
-    rows = nodes(spark, sf_dir).where("comment_text IS NOT NULL")
-    return rows.select("id", *[X.category_hits(t, words).cast("int").alias(c) for c, words in L.AGGRESSION.items()])
+    rows = nodes(spark, sf_dir).where("comment_text IS NOT NULL").select("id", F.lower("comment_text").alias("low"))
+    return rows.select("id", *[X.category_hits(F.col("low"), words).cast("int").alias(c) for c, words in L.AGGRESSION.items()])
 
 
 def pattern_aggression(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,8 +17,11 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Comment nodes, each once, with parsed times."""
-    n = read(spark, sf_dir, "comment_nodes").select("id", "comment_id", "comment_text", "username", "created", "post_id", "user_id", "verified", "location").distinct()
+    """Comment nodes, each once, with parsed times.
+
+    Rows are written twice unchanged, so the id decides; columns a query does not use are then not read.
+    """
+    n = read(spark, sf_dir, "comment_nodes").select("id", "comment_id", "comment_text", "username", "created", "post_id", "user_id", "verified", "location").dropDuplicates(["id"])
     return n.withColumn("ts", parse_time(F.col("created")))
 
 
@@ -32,16 +35,18 @@ def post_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "url_map").join(v, "url").select("post_id", "label")
 
 
-def subgraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Subgraphs, each id once in its latest row, with the number of their session."""
-    rows = read(spark, sf_dir, "subgraph")
+def subgraphs(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    """Subgraphs, each id once in its latest row, with the number of their session and the columns asked for
+    (all of subgraph_type, emotion_score, nodes and edges by default); no others are read."""
+    columns = columns or ("subgraph_type", "emotion_score", "nodes", "edges")
     given = session_number(F.col("session_id"))
     named = F.regexp_extract("subgraph_id", r"(?i)session\D?(\d+)", 1)
-    rows = rows.withColumn("session_no", F.coalesce(given, F.when(named != "", named).cast("bigint")))
-    keep = F.struct("extracted_at", F.to_json("nodes"), F.to_json("edges"), "session_no", "subgraph_type", "emotion_score", "nodes_a", "edges_a")
-    packed = rows.withColumn("nodes_a", F.map_entries("nodes")).withColumn("edges_a", F.map_entries("edges"))
-    best = packed.where("subgraph_id IS NOT NULL").groupBy("subgraph_id").agg(F.max(keep).alias("r"))
-    return best.select("subgraph_id", "r.session_no", "r.subgraph_type", "r.emotion_score", "r.extracted_at", F.map_from_entries("r.nodes_a").alias("nodes"), F.map_from_entries("r.edges_a").alias("edges"))
+    maps = [c for c in columns if c in ("nodes", "edges")]
+    rows = read(spark, sf_dir, "subgraph").where("subgraph_id IS NOT NULL").select(
+        "subgraph_id", "extracted_at", F.coalesce(given, F.when(named != "", named).cast("bigint")).alias("session_no"), *[F.map_entries(c).alias(c) if c in maps else F.col(c) for c in columns]
+    )
+    best = rows.groupBy("subgraph_id").agg(F.max(F.struct("extracted_at", "session_no", *columns)).alias("r"))
+    return best.select("subgraph_id", "r.session_no", *[F.map_from_entries(f"r.{c}").alias(c) if c in maps else F.col(f"r.{c}") for c in columns])
 
 
 def quoted(words: list[str]) -> str:

@@ -83,8 +83,8 @@ def test_scores(spark):
 def test_rule_scores(spark):
     import math
 
-    assert round(one(spark, X.rule_aggression(F.lit("stupid idiot"))), 6) == round(1 / (1 + math.exp(2 - 1.6)), 6)
-    assert one(spark, X.rule_aggression(F.lit("  "))) == 0
+    assert round(one(spark, X.rule_aggression(F.lit("stupid idiot"), F.lit("stupid idiot"))), 6) == round(1 / (1 + math.exp(2 - 1.6)), 6)
+    assert one(spark, X.rule_aggression(F.lit("  "), F.lit(""))) == 0
     assert round(one(spark, X.rule_toxicity(F.lit("i will hurt you"))), 6) == 1.0
     g = X.grammar_features(F.lit("No!! Go. aaaa bbb"))
     assert round(one(spark, g["exclamation"]), 6) == 1.0 and one(spark, g["short_sentences"]) == 0.3
