@@ -104,7 +104,9 @@ def _cycles(stash: Stash, table: DataFrame) -> DataFrame:
     now = stash.put(table.select("node", "ptr", "low"))
     total = now.count()
     if not total:
-        return now.select("node", "low", F.lit(False).alias("on_cycle"))
+        none = now.select("node", "low", F.lit(False).alias("on_cycle"))
+        none._stash_path = now._stash_path
+        return none
     seen, steady = -1, False
     while True:
         image = now.select("ptr").distinct().count()
@@ -189,6 +191,8 @@ def resolve(links: DataFrame, paths: bool = False, _stash: Stash | None = None)
     )
     bad = rest.where("root IS NULL").select("node", "ptr", "low", *(["trail"] if paths else []))
     if endless.isEmpty() and bad.isEmpty():
+        if _stash is None:
+            stash.keep_only(rest)
         return good
 
     # Cycles without a splitter are settled on their own rows.  Circular splitters either lead to one
@@ -206,6 +210,7 @@ def resolve(links: DataFrame, paths: bool = False, _stash: Stash | None = None)
     behind = stash.put(bad.join(answer.select("s", "root"), F.col("ptr") == F.col("s")).select("node", "root"))
     caught = loops.select("node", F.col("low").alias("root")).unionByName(behind)
     if not paths:
+        stash.keep_only(rest, loops, behind)
         return good.unionByName(caught.select("node", "root", F.lit(-1).cast("bigint").alias("depth"), F.lit(True).alias("in_cycle")))
 
     ring = loops.where("on_cycle").select("node").unionByName(

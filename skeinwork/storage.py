@@ -65,6 +65,13 @@ class Stash:
         for df in frames:
             self._delete(getattr(df, "_stash_path", None))
 
+    def keep_only(self, *frames: DataFrame) -> None:
+        """Remove all stages but those of the given frames."""
+        kept = {getattr(df, "_stash_path", None) for df in frames}
+        for n in range(self._n):
+            if f"{self.base}/{n}" not in kept:
+                self._delete(f"{self.base}/{n}")
+
     def _delete(self, path: str | None) -> None:
         if not path:
             return
