@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from skeinwork.storage import Stash, spread
 
 DEPTH = 2
-MIN_BITS, MAX_BITS = 20, 27
+MIN_BITS, MAX_BITS = 20, 26
 SLICE = 1 << 20
 #: Characters of one text that are hashed at a time; slices overlap so that every window is in one.
 CHUNK = 1 << 18
