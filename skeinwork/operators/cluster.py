@@ -162,3 +162,13 @@ def merge_similar(prototypes: DataFrame, key: str, features: str, size: str, lea
         return pd.DataFrame({key: keys, "merged_into": [keys[j] for j in into]})
 
     return prototypes.select(key, features, size, F.lit(0).alias("_all")).groupBy("_all").applyInPandas(merge, f"{key} {kind}, merged_into {kind}")
+
+
+def merge_clusterings(parts: dict[str, DataFrame], least: int) -> DataFrame:
+    """``cluster, members`` of several clusterings (rows with a column ``c``) under prefixed names, where a
+    cluster has at least ``least`` members.  Rows without a cluster are left out."""
+    out = None
+    for prefix, rows in parts.items():
+        named = rows.where("c IS NOT NULL").select(F.concat(F.lit(prefix), "c").alias("cluster"))
+        out = named if out is None else out.unionByName(named)
+    return out.groupBy("cluster").agg(F.count("*").alias("members")).where(F.col("members") >= least)

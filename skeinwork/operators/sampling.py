@@ -28,6 +28,17 @@ def quality_then_random(df: DataFrame, key: str, score: str, quota: int, share:
     return best.withColumn("pick", F.lit("quality")).unionByName(rest.withColumn("pick", F.lit("random")))
 
 
+def diverse(df: DataFrame, key: str, score: str, edges: list[float], per_bin: int, best: int, random: int, seed: int = 42) -> DataFrame:
+    """``key``: rows of a stratified sample (``per_bin`` of each score bin [lo, hi)), the ``best`` by score,
+    and ``random`` of those not chosen by either; each row once."""
+    which = F.size(F.filter(F.array(*[F.lit(e) for e in edges]), lambda e: e <= F.col(score)))
+    strata = sample_per_stratum(df.where(F.col(score).isNotNull()).withColumn("_bin", which), "_bin", key, per_bin, seed).select(key)
+    top = df.orderBy(F.col(score).desc(), key).limit(best).select(key)
+    chosen = strata.union(top).distinct()
+    rest = df.join(chosen, key, "left_anti").orderBy(hash_rank(F.col(key), seed), key).limit(random).select(key)
+    return chosen.union(rest)
+
+
 def evenly_spaced(df: DataFrame, group: list[str], order: list[Column], k: int) -> DataFrame:
     """Rows at the indexes floor(i * n / k), i < k, of each group; all rows where n <= k."""
     n = F.count("*").over(Window.partitionBy(*group))

@@ -102,13 +102,13 @@ _RANK = {"comment": 0, "user": 1, "word": 2, "time": 3, "location": 4, "video":
 
 
 def grow(seeds: DataFrame, edges: DataFrame, size: int, strategy: str = "compact", reach: int = 2) -> DataFrame:
-    """``seed, nodes``: from each seed comment, nodes are added one by one from the neighbours of those
+    """``seed, nodes, added``: from each seed comment, nodes are added one by one from the neighbours of those
     chosen, up to ``size``.
 
     compact: by type (comment, user, word, ...), then id; balanced: by type and by id in turn; extensive:
     types not present yet first.  Input is the two-step neighbourhood of each seed, cut to the ``size``
     least nodes a step and node, which is all that growth can reach by these rules; one group is a seed.
-    ``edges``: a, b as 'type:id', undirected.
+    ``edges``: a, b as 'type:id', undirected.  ``nodes`` are sorted, ``added`` is the order of growth.
     """
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct()
     kind = F.split("b", ":")[0]
@@ -142,9 +142,15 @@ def grow(seeds: DataFrame, edges: DataFrame, size: int, strategy: str = "compact
             chosen.append(pick)
             open_ |= near_by[pick]
             open_ -= set(chosen)
-        return pd.DataFrame({"seed": [seed], "nodes": [sorted(chosen)]})
+        return pd.DataFrame({"seed": [seed], "nodes": [sorted(chosen)], "added": [chosen]})
 
-    return local.distinct().groupBy("seed").applyInPandas(build, "seed string, nodes array<string>")
+    return local.distinct().groupBy("seed").applyInPandas(build, "seed string, nodes array<string>, added array<string>")
+
+
+def at_each_size(grown: DataFrame, low: int, high: int) -> DataFrame:
+    """``seed, size, nodes``: the growing subgraph at every size it reaches in the range."""
+    sizes = F.filter(F.sequence(F.lit(low), F.lit(high)), lambda n: n <= F.size("added"))
+    return grown.select("seed", "added", F.explode(sizes).alias("size")).select("seed", "size", F.array_sort(F.slice("added", 1, F.col("size"))).alias("nodes"))
 
 
 def sliding_comments(comments: DataFrame, width: int) -> DataFrame:

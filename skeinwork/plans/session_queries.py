@@ -208,6 +208,11 @@ def quality_random_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sampling.quality_then_random(read(spark, sf_dir, "events").select("event_id", "value"), "event_id", "value", 200).select("event_id", "pick")
 
 
+def diverse_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events by three strategies: 20 of each value bin, the 30 greatest, 25 others: a sampling operator."""
+    return sampling.diverse(read(spark, sf_dir, "events"), "event_id", "value", [10.0, 50.0, 100.0], 20, 30, 25)
+
+
 def evenly_spaced_comments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ten comments of each post, evenly spaced in order of their ids: a sampling operator."""
     n = nodes(spark, sf_dir).select("post_id", "id").where("post_id IS NOT NULL")
@@ -283,7 +288,7 @@ QUERIES = {
     for f in (
         videos_clean, video_content, post_label_join, label_verdicts, label_conflicts, align_three_modalities, align_adaptive, post_key_sets, unlabelled_sessions, post_hour_histogram,
         post_weekday_histogram, time_of_day_counts, month_counts, comment_gaps, post_timespan, user_peak_hour, post_peak_period, user_profiles, user_levels, user_level_distribution, user_top_n,
-        user_top5_examples, user_totals_merged, population_stats, user_bullying_ratio, event_runs, json_props, event_windows, sample_per_type, quality_random_sample, evenly_spaced_comments,
+        user_top5_examples, user_totals_merged, population_stats, user_bullying_ratio, event_runs, json_props, event_windows, sample_per_type, quality_random_sample, diverse_sample, evenly_spaced_comments,
         stratified_split, shuffle_split, minmax_scale, zscore_scale, column_report, quartile_bins, dbscan_1d,
     )
 }
@@ -341,6 +346,9 @@ SELECT g.user_id, changes, mean_gap, mode FROM g JOIN t ON t.user_id = g.user_id
     "sample_per_type": "SELECT event_type, event_id FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY md5(event_id || '|42'), event_id) AS rn FROM events) WHERE rn <= 50",
     "quality_random_sample": """WITH q AS (SELECT event_id FROM events ORDER BY value DESC, event_id LIMIT 140), o AS (SELECT event_id FROM events WHERE event_id NOT IN (SELECT event_id FROM q) ORDER BY md5(event_id || '|42'), event_id LIMIT 60)
 SELECT event_id, 'quality' AS pick FROM q UNION ALL SELECT event_id, 'random' FROM o""",
+    "diverse_sample": """WITH b AS (SELECT event_id, value, (value >= 10)::INT + (value >= 50)::INT + (value >= 100)::INT AS bin, md5(event_id || '|42') AS h FROM events),
+c AS (SELECT event_id FROM (SELECT *, row_number() OVER (PARTITION BY bin ORDER BY h, event_id) AS rn FROM b) WHERE rn <= 20 UNION SELECT event_id FROM (SELECT event_id FROM b ORDER BY value DESC, event_id LIMIT 30))
+SELECT event_id FROM c UNION ALL SELECT event_id FROM (SELECT event_id FROM b WHERE event_id NOT IN (SELECT event_id FROM c) ORDER BY h, event_id LIMIT 25)""",
     "evenly_spaced_comments": f"""WITH {NODES}, r AS (SELECT post_id, id, row_number() OVER (PARTITION BY post_id ORDER BY id) - 1 AS a, count(*) OVER (PARTITION BY post_id) AS c FROM n WHERE post_id IS NOT NULL)
 SELECT post_id, id FROM r WHERE c <= 10 OR a IN (c * 0 // 10, c * 1 // 10, c * 2 // 10, c * 3 // 10, c * 4 // 10, c * 5 // 10, c * 6 // 10, c * 7 // 10, c * 8 // 10, c * 9 // 10)""",
     "stratified_split": f"""WITH {VIDEOS}, {LABELS}, p AS (SELECT post_id, max(label) AS label FROM pl GROUP BY post_id),

@@ -96,16 +96,24 @@ def sliding_comments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.sliding_comments(n, 3).select("post_id", "start", F.concat_ws(",", F.col("ids").cast("array<string>")).alias("ids"))
 
 
-def greedy_growth_subgraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """From each comment with two attack words, a subgraph of up to 12 nodes grown over replies and words."""
+def _grown(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = _measured(spark, sf_dir)
     tag = lambda kind, c: F.concat(F.lit(f"{kind}:"), F.col(c).cast("string"))
     posts = m.where("user_id IS NOT NULL").select(tag("user", "user_id").alias("a"), tag("comment", "id").alias("b"))
     words = m.select(tag("comment", "id").alias("a"), F.explode("words").alias("w")).select("a", tag("word", "w").alias("b"))
     talk = reply_edges(spark, sf_dir).select(tag("user", "src").alias("a"), tag("user", "dst").alias("b"))
     seeds = m.where("hits >= 2").select(tag("comment", "id").alias("seed"))
-    grown = S.grow(seeds, posts.unionByName(words).unionByName(talk), 12, "extensive")
-    return grown.select("seed", F.concat_ws(",", "nodes").alias("nodes"), F.size("nodes").alias("size"))
+    return S.grow(seeds, posts.unionByName(words).unionByName(talk), 12, "extensive")
+
+
+def greedy_growth_subgraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From each comment with two attack words, a subgraph of up to 12 nodes grown over replies and words."""
+    return _grown(spark, sf_dir).select("seed", F.concat_ws(",", "nodes").alias("nodes"), F.size("nodes").alias("size"))
+
+
+def incremental_subgraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same at every size from 4 to 12."""
+    return S.at_each_size(_grown(spark, sf_dir), 4, 12).select("seed", "size", F.concat_ws(",", "nodes").alias("nodes"))
 
 
 def _scores(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -200,7 +208,35 @@ def _matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     shape = V.cosine(matching.shares([F.col(c) for c in cols]), matching.shares([F.col(f"p_{c}") for c in cols]))
     counts = matching.count_similarity([(F.col("n_comment"), F.col("p_n_comment"), 0.5), (F.col("n_user"), F.col("p_n_user"), 0.3), (F.col("n_word"), F.col("p_n_word"), 0.2)])
     size = matching.relative_similarity(F.col("n_nodes"), F.col("p_nodes"))
-    return both.select("subgraph_id", "session_no", "prototype", matching.blend([shape, counts, size]).alias("similarity"))
+    parts = [shape.alias("shape"), counts.alias("counts"), size.alias("size")]
+    return both.select("subgraph_id", "session_no", "prototype", *parts, matching.blend([shape, counts, size]).alias("similarity"))
+
+
+_TRIPLES = [(0.5, 0.3, 0.2), (0.4, 0.4, 0.2), (0.6, 0.2, 0.2), (0.2, 0.3, 0.5)]
+
+
+def weight_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F1 over labelled sessions of the rule 'best similarity of at least 0.9', for each weighting of its parts."""
+    m = _matches(spark, sf_dir)
+    triples = spark.createDataFrame([(i, *t) for i, t in enumerate(_TRIPLES)], "triple int, w0 double, w1 double, w2 double")
+    tried = m.join(F.broadcast(triples), how="cross")  # four rows
+    best = tried.groupBy("triple", "session_no").agg(F.max(F.round(F.col("shape") * F.col("w0") + F.col("counts") * F.col("w1") + F.col("size") * F.col("w2"), 9)).alias("best"))
+    truth = prepare.label_verdicts(read(spark, sf_dir, "session_labels")).select("session_no", F.col("is_bullying").alias("label"))
+    j = best.join(truth, "session_no")
+    p, y = F.col("best") >= 0.9, F.col("label") == 1
+    c = j.groupBy("triple").agg(F.count_if(p & y).alias("tp"), F.count_if(p & ~y).alias("fp"), F.count_if(~p & y).alias("fn"))
+    return c.withColumn("f1", F.round(F.coalesce(2 * F.col("tp") / F.nullif(2 * F.col("tp") + F.col("fp") + F.col("fn"), F.lit(0)), F.lit(0.0)), 6))
+
+
+def merged_clusterings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clusters by size, by emotion quartile and by type, under names of their own, from eight members on."""
+    s = subgraphs(spark, sf_dir, "nodes", "emotion_score", "subgraph_type")
+    binned = cluster.quantile_bins(s.select("subgraph_id", "emotion_score"), "emotion_score", [0.25, 0.5, 0.75]).where("bin IS NOT NULL")
+    parts = {
+        "size_": s.select("subgraph_id", F.floor(F.size(S.node_list(F.col("nodes"))) / 2).cast("string").alias("c")), "emotion_": binned.select("subgraph_id", F.col("bin").cast("string").alias("c")),
+        "type_": s.select("subgraph_id", F.col("subgraph_type").alias("c")),
+    }
+    return cluster.merge_clusterings(parts, 8)
 
 
 def prototype_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -255,8 +291,8 @@ QUERIES = {
     f.__name__: f
     for f in (
         subgraph_structure, subgraph_edge_counts, subgraph_dedupe, subgraph_dedupe_untyped, subgraph_validity, subgraph_connectivity, subgraph_type_mix, subgraph_session_index, capped_session_nodes,
-        induced_edges, user_pair_subgraphs, composition_counts, sliding_comments, greedy_growth_subgraphs, subgraph_emotion, threshold_sweep, negative_subgraph_filter, emotion_stats, size_bins,
-        tertile_bins, cluster_quality, cluster_cohesion, cluster_medoids, prototypes, dbscan, prototype_similarity, session_match_features, aligner_features, confusion_metrics, similar_vectors,
+        induced_edges, user_pair_subgraphs, composition_counts, sliding_comments, greedy_growth_subgraphs, incremental_subgraphs, subgraph_emotion, threshold_sweep, negative_subgraph_filter, emotion_stats, size_bins,
+        tertile_bins, cluster_quality, cluster_cohesion, cluster_medoids, prototypes, dbscan, prototype_similarity, session_match_features, aligner_features, weight_search, merged_clusterings, confusion_metrics, similar_vectors,
         random_forest_detect, logistic_detect, perceptron_detect,
     )
 }
@@ -296,6 +332,8 @@ _KINDS = ["n_comment", "n_user", "n_word", "n_video"]
 _ALIKE = lambda a, b: f"(CASE WHEN greatest({a}, {b}) = 0 THEN 1 ELSE least({a}, {b}) / greatest({a}, {b}) END)"
 _MATCHES = _PROTOTYPES + f""",
 pp AS (SELECT prototype, {', '.join(f'sx.{c} AS p_{c}' for c in _KINDS)}, sx.n_nodes AS p_nodes FROM pr JOIN md USING (bin) JOIN sx ON sx.subgraph_id = md.medoid WHERE sx.session_no IS NOT NULL),
+mp AS (SELECT subgraph_id, session_no, prototype, {_cos(_KINDS, [f'p_{c}' for c in _KINDS])} AS a, (0.5 * {_ALIKE('n_comment', 'p_n_comment')} + 0.3 * {_ALIKE('n_user', 'p_n_user')} + 0.2 * {_ALIKE('n_word', 'p_n_word')}) AS b,
+  (CASE WHEN greatest(n_nodes, p_nodes) = 0 THEN 1 ELSE 1 - abs(n_nodes - p_nodes) / greatest(n_nodes, p_nodes) END) AS c FROM sx, pp WHERE session_no IS NOT NULL),
 mt AS (SELECT subgraph_id, session_no, prototype, {_cos(_KINDS, [f'p_{c}' for c in _KINDS])} * 0.5 + (0.5 * {_ALIKE('n_comment', 'p_n_comment')} + 0.3 * {_ALIKE('n_user', 'p_n_user')} + 0.2 * {_ALIKE('n_word', 'p_n_word')}) * 0.3
   + (CASE WHEN greatest(n_nodes, p_nodes) = 0 THEN 1 ELSE 1 - abs(n_nodes - p_nodes) / greatest(n_nodes, p_nodes) END) * 0.2 AS similarity FROM sx, pp WHERE session_no IS NOT NULL)"""
 _FILTER = f"""WITH {SUBGRAPHS}, nf AS (SELECT session_no, count(*) AS subgraphs, count(*) FILTER (emotion_score < -0.4) AS kept FROM s WHERE session_no IS NOT NULL AND emotion_score IS NOT NULL GROUP BY session_no),
@@ -351,6 +389,14 @@ SELECT label, max(n) AS size, round((sum(s * s) - sum(q)) / (max(n) * (max(n) -
     "aligner_features": _MATCHES + """, ps AS (SELECT session_no, prototype, 0.7 * max(similarity) + 0.3 * avg(similarity) AS s FROM mt GROUP BY 1, 2), pk AS (SELECT *, row_number() OVER (PARTITION BY session_no ORDER BY s DESC) AS rn FROM ps)
 SELECT session_no, round(max(s), 6) AS best, round(avg(s), 6) AS mean, round(coalesce(sum(s * s) / nullif(sum(s), 0), 0), 6) AS self_weighted, round(avg(s) FILTER (rn <= 3), 6) AS top3,
   count(*) FILTER (s >= 0.7) AS high, count(*) FILTER (s >= 0.3 AND s < 0.7) AS medium, count(*) FILTER (s < 0.3) AS low, (max(s) >= 0.6)::INT AS predicted FROM pk GROUP BY session_no""",
+    "weight_search": _MATCHES + ", tr(triple, w0, w1, w2) AS (VALUES " + ", ".join(f"({i}, {a}, {b}, {c})" for i, (a, b, c) in enumerate(_TRIPLES)) + """),
+bs AS (SELECT triple, session_no, max(round(a * w0 + b * w1 + c * w2, 9)) AS best FROM mp, tr GROUP BY 1, 2),
+ct AS (SELECT triple, count(*) FILTER (best >= 0.9 AND label = 1) AS tp, count(*) FILTER (best >= 0.9 AND label = 0) AS fp, count(*) FILTER (best < 0.9 AND label = 1) AS fn FROM bs JOIN lab USING (session_no) GROUP BY triple)
+SELECT triple, tp, fp, fn, round(coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0), 6) AS f1 FROM ct""",
+    "merged_clusterings": _STRUCTURE + """, q AS (SELECT quantile_cont(emotion_score, 0.25) AS a, quantile_cont(emotion_score, 0.5) AS b, quantile_cont(emotion_score, 0.75) AS c FROM s),
+m AS (SELECT 'size_' || (n_nodes // 2) AS cluster, subgraph_id FROM sx UNION ALL SELECT 'type_' || subgraph_type, subgraph_id FROM s WHERE subgraph_type IS NOT NULL
+  UNION ALL SELECT 'emotion_' || ((emotion_score > a)::INT + (emotion_score > b)::INT + (emotion_score > c)::INT), subgraph_id FROM s, q WHERE emotion_score IS NOT NULL)
+SELECT cluster, count(*) AS members FROM m GROUP BY cluster HAVING count(*) >= 8""",
     "confusion_metrics": _FILTER + f""", {_VERDICT}, j AS (SELECT (share > 0.5)::INT AS p, label AS y FROM nr JOIN lab USING (session_no)),
 c AS (SELECT count(*) FILTER (p = 1 AND y = 1) AS tp, count(*) FILTER (p = 1 AND y = 0) AS fp, count(*) FILTER (p = 0 AND y = 1) AS fn, count(*) FILTER (p = 0 AND y = 0) AS tn FROM j)
 SELECT *, round(coalesce(tp / nullif(tp + fp, 0), 0), 6) AS precision, round(coalesce(tp / nullif(tp + fn, 0), 0), 6) AS recall, round(coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0), 6) AS f1, round(coalesce((tp + tn) / nullif(tp + fp + fn + tn, 0), 0), 6) AS accuracy FROM c""",

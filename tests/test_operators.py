@@ -162,6 +162,7 @@ def test_subgraphs(spark):
 def test_growth_is_connected_and_bounded(spark, strategy):
     edges = [("comment:1", "user:1"), ("comment:1", "word:a"), ("word:a", "comment:2"), ("user:1", "user:2"), ("comment:2", "user:3"), ("comment:9", "user:9")]
     grown = subgraphs.grow(spark.createDataFrame([("comment:1",)], "seed string"), spark.createDataFrame(edges, "a string, b string"), 5, strategy).first()
+    assert sorted(grown["added"]) == grown["nodes"] and grown["added"][0] == "comment:1"
     assert len(grown["nodes"]) == 5 and "comment:9" not in grown["nodes"] and "comment:1" in grown["nodes"]
 
 
@@ -221,3 +222,13 @@ def test_weighted_quality_and_merging(spark):
     assert q[1]["quality"] == 1 and q[1]["representative"] == "c"
     p = spark.createDataFrame([(1, [1.0, 0.0], 5), (2, [0.9, 0.1], 9), (3, [0.0, 1.0], 7), (4, [0.0, 0.0], 1)], "p int, x array<double>, n int")
     assert {r["p"]: r["merged_into"] for r in cluster.merge_similar(p, "p", "x", "n").collect()} == {1: 2, 2: 2, 3: 3, 4: 4}
+
+
+def test_growth_sizes_diverse_and_merged(spark):
+    grown = spark.createDataFrame([("s", ["a", "b", "c"], ["c", "a", "b"])], "seed string, nodes array<string>, added array<string>")
+    assert [(r["size"], r["nodes"]) for r in subgraphs.at_each_size(grown, 2, 9).orderBy("size").collect()] == [(2, ["a", "c"]), (3, ["a", "b", "c"])]
+    df = spark.range(100).withColumn("v", F.col("id") * 1.0)
+    got = [r["id"] for r in sampling.diverse(df, "id", "v", [50.0], 5, 4, 3).collect()]
+    assert len(got) == len(set(got)) and 10 <= len(got) <= 17 and {96, 97, 98, 99} <= set(got)
+    parts = {"x_": df.select(F.lit("1").alias("c")), "y_": df.select(F.when(F.col("id") < 3, "2").alias("c"))}
+    assert [tuple(r) for r in cluster.merge_clusterings(parts, 4).collect()] == [("x_1", 100)]
