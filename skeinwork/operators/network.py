@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from skeinwork.operators.hetero import dense_ids
 from skeinwork.storage import Stash
 
 
@@ -148,17 +149,52 @@ def _paths(frame: pd.DataFrame) -> tuple[dict, dict]:
     return out, inward
 
 
-def path_centralities(edges: DataFrame, component: str, limit: int = 1000) -> DataFrame:
-    """``component, node, closeness, betweenness`` within each graph of fewer than ``limit`` nodes.
+def closeness(edges: DataFrame, component: str) -> DataFrame:
+    """``component, node, closeness`` within each graph, of any size, by breadth-first search from all nodes.
 
-    A graph is the rows of one ``component`` value (a post's network, say).  Measures over all shortest
-    paths are defined for graphs below the limit only, larger ones give null; their edges are never
-    gathered.  Closeness counts paths towards a node, scaled by the share of nodes that reach it.
+    Sources are numbered within their graph and go in blocks of 64, one bit each: a row holds the sources
+    of a block that reach a node, so a round is one join with the edges and one ``bit_or``.  Edges are
+    never gathered.  There are as many rounds as the longest shortest path has steps.
+    """
+    stash = Stash(edges.sparkSession, "closeness")
+    links = stash.put(edges.where("src <> dst").select(F.col(component).alias("type"), "src", "dst").distinct())
+    nodes = edges.select(F.col(component).alias("type"), F.explode(F.array("src", "dst")).alias("key")).distinct()
+    known = stash.put(dense_ids(nodes).select("type", F.col("key").alias("node"), "id"))
+    own = F.expr("shiftleft(1L, cast(id % 64 AS int))")
+    zero = F.lit(0).cast("bigint")
+    state = known.select("type", "node", F.floor(F.col("id") / 64).alias("block"), own.alias("seen"), own.alias("fresh"), zero.alias("reached"), zero.alias("total"))
+    hop = 0
+    while True:
+        hop += 1
+        sent = state.where("fresh <> 0").withColumnRenamed("node", "src").join(links, ["type", "src"]).groupBy("type", F.col("dst").alias("node"), "block").agg(F.bit_or("fresh").alias("got"))
+        both = state.drop("fresh").join(sent, ["type", "node", "block"], "full")
+        seen = F.coalesce("seen", zero)
+        fresh = F.coalesce("got", zero).bitwiseAND(F.bitwise_not(seen))
+        more = F.bit_count("fresh").cast("bigint")
+        after = both.select("type", "node", "block", seen.alias("seen"), fresh.alias("fresh"), F.coalesce("reached", zero).alias("reached"), F.coalesce("total", zero).alias("total"))
+        state, before = stash.put(after.withColumns({"seen": F.col("seen").bitwiseOR(F.col("fresh")), "reached": F.col("reached") + more, "total": F.col("total") + hop * more})), state
+        stash.drop(before)
+        if state.where("fresh <> 0").isEmpty():
+            break
+    sizes = known.groupBy("type").agg(F.count("*").alias("n"))
+    sums = state.groupBy("type", "node").agg(F.sum("reached").alias("r"), F.sum("total").alias("t"))
+    value = F.when(F.col("t") > 0, F.col("r") / F.col("t") * F.col("r") / (F.col("n") - 1)).otherwise(0.0)
+    return sums.join(sizes, "type").select(F.col("type").alias(component), "node", value.alias("closeness"))
+
+
+def path_centralities(edges: DataFrame, component: str, limit: int | None = None, between: int = 1000) -> DataFrame:
+    """``component, node, closeness, betweenness`` within each graph.
+
+    A graph is the rows of one ``component`` value (a post's network, say).  Betweenness is defined for
+    graphs of fewer than ``between`` nodes only, larger ones give null; so does closeness with a ``limit``,
+    which then holds for both.  The edges of larger graphs are never gathered.  Closeness counts paths
+    towards a node, scaled by the share of nodes that reach it.
     """
     plain = edges.select(component, "src", "dst").distinct()
     nodes = plain.select(component, F.explode(F.array("src", "dst")).alias("node")).distinct()
     sizes = nodes.groupBy(component).agg(F.count("*").alias("_n"))
-    small = plain.join(sizes.where(F.col("_n") < limit), component)
+    most = between if limit is None else limit
+    small = plain.join(sizes.where(F.col("_n") < most), component)
     kind, node_kind = edges.schema[component].dataType.simpleString(), edges.schema["src"].dataType.simpleString()
 
     def measure(frame: pd.DataFrame) -> pd.DataFrame:
@@ -197,6 +233,9 @@ def path_centralities(edges: DataFrame, component: str, limit: int = 1000) -> Da
         return pd.DataFrame({component: [frame[component].iloc[0]] * n, "node": names, "closeness": [close[v] for v in names], "betweenness": [between[v] * scale for v in names]})
 
     done = small.drop("_n").groupBy(component).applyInPandas(measure, f"{component} {kind}, node {node_kind}, closeness double, betweenness double")
+    if limit is None:
+        large = plain.join(sizes.where(F.col("_n") >= most), component)
+        done = done.unionByName(closeness(large, component).withColumn("betweenness", F.lit(None).cast("double")))
     return nodes.join(done, [component, "node"], "left")
 
 

@@ -63,7 +63,7 @@ def khop_neighbourhood(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def path_centralities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Closeness and betweenness in each post's reply network of fewer than 1,000 users."""
+    """Closeness in each post's reply network, and betweenness in those of fewer than 1,000 users."""
     c = _replies(spark, sf_dir)
     p = c.select(F.col("comment_id").alias("parent_id"), F.col("post_id").alias("p_post"), F.col("user_id").alias("dst"))
     edges = c.join(p, "parent_id").where("post_id = p_post AND user_id <> dst").select("post_id", F.col("user_id").alias("src"), "dst")

@@ -82,6 +82,16 @@ def test_bfs_and_paths(spark):
     assert network.path_centralities(edges, "g", 3).where("closeness IS NULL").count() == 4
 
 
+def test_closeness_of_large_graphs(spark):
+    rng = random.Random(8)
+    pairs = {("g", f"u{a:03}", f"u{b:03}") for a, b in ((rng.randrange(150), rng.randrange(150)) for _ in range(190))} | {("h", f"u{i}", f"u{i + 1}") for i in range(9)}
+    edges = spark.createDataFrame(sorted(pairs), "g string, src string, dst string")
+    whole = {(r["g"], r["node"]): r["closeness"] for r in network.path_centralities(edges, "g").collect()}
+    cut = network.path_centralities(edges, "g", between=20).collect()
+    assert {(r["g"], r["node"]): r["closeness"] for r in cut} == pytest.approx(whole) and all(v is not None for v in whole.values())
+    assert {r["g"] for r in cut if r["betweenness"] is None} == {"g"}
+
+
 def test_edges_from_comments(spark):
     rows = [("1", None, "p", "u", "Uma", "hi"), ("2", "1", "p", "v", "vic.1", "@Uma hey @uma."), ("3", "1", "p", "u", "Uma", "@vic.1, no"), ("4", "1", "q", "v", "vic.1", "@uma"), ("5", "2", "p", None, "", "@uma"), ("6", "2", "p", "w", None, None)]
     df = spark.createDataFrame(rows, "comment_id string, parent_id string, post_id string, user_id string, username string, text string")
