@@ -11,6 +11,8 @@ occurs without c and 0 if it is independent of it.  The corpus itself is the evi
 * Person names are pairs of terms.  A term discloses a person as a given name if its occurrences
   stand in name-shaped pairs with changing partners; a partner does as a family name if its
   occurrences stand beside such given names.  Pairs of two disclosing terms are names in any case.
+  A given name too rare for that counts in a pair that a title, a dotted initial or the words around
+  mark as a person, or in a name-shaped pair with a family name disclosed already.
 
 Terms above the thresholds are replaced by placeholders; the rest of the text stays as it was.
 Estimates use all rows.  Term tables are joined, not shipped, so vocabularies may be of any size.
@@ -78,6 +80,10 @@ _ADDRESS_CUE = r"(?:live|lives|living|moved|move|address|house|home|send|sent|sh
 _WORD = r"\p{L}[\p{L}\p{M}]*(?:['’\-]\p{L}[\p{L}\p{M}]*)*"
 _PARTICLES = {"van", "von", "de", "da", "del", "della", "di", "du", "la", "le", "bin", "al", "ter", "der", "den"}
 _TITLES = {"mr", "mrs", "ms", "miss", "dr", "prof", "sir", "madam", "mx"}
+_RELATION = r"(?:coach|teacher|tutor|professor|friend|bestie|buddy|mate|neighbou?r|cousin|brother|sister|uncle|aunt|boss|manager|classmate|teammate|roommate|colleague|girlfriend|boyfriend|husband|wife|son|daughter|principal|doctor)"
+#: What stands right before or after a person's name; a word pair there is a name unless it mostly stands elsewhere.
+NAME_BEFORE = rf"\b(?:(?:my|our|your|his|her|their)\s+(?:\p{{L}}+\s+)?{_RELATION}|is\s+that|this\s+is|it['’]?s|shout\s?-?out\s+to|happy\s+birthday|(?:everybody|everyone)\s+knows|named|name\s+is|i\s+am|i['’]m)[\s,:]+$"
+NAME_AFTER = r"\s+(?:from\s+(?:my|our)\s+\p{L}+|you\s+are|you['’]re|ur)\b"
 
 
 def _fold(word: str) -> str:
@@ -106,6 +112,7 @@ class Finder:
         self.dialled = regex.compile(r"1?[2-9]\d\d[2-9]\d{6}|0\d{9,10}")
         self.next = regex.compile(r"\s(\p{L}+)")
         self.digits = regex.compile(r"\p{Nd}")
+        self.name_before, self.name_after = regex.compile(NAME_BEFORE, i), regex.compile(NAME_AFTER, i)
         self.after = regex.compile(r"^\s*,?\s*(?:apt\b|unit\b|be there|\p{Lu}\p{L}+)", 0)
 
     def find(self, text: str):
@@ -174,10 +181,10 @@ class Finder:
         return settled, opened, self.pairs(text, taken)
 
     def pairs(self, text: str, taken: list[tuple[int, int]]):
-        """(left, right, start, end, comma, shaped, strong) for every word and the next name-like one.
+        """(left, right, start, end, comma, shaped, strong, cue) for every word and the next name-like one.
 
         ``right`` is '' where none follows.  An initial or particles may stand between; single letters
-        and particles start no pair.
+        and particles start no pair.  ``cue``: a title, a dotted initial or the words around say it is a person.
         """
         words = [m for m in self.word.finditer(text) if all(m.end() <= x or m.start() >= y for x, y in taken)]
         out = []
@@ -185,7 +192,7 @@ class Finder:
             one = m[0]
             if len(one) < 2 or one.lower() in _PARTICLES or one.lower() in _TITLES:
                 continue
-            j, initial = i + 1, False
+            j, initial, dotted = i + 1, False, False
             right, comma, end = "", False, m.end()
             while j < len(words):
                 gap = text[end : words[j].start()]
@@ -195,6 +202,7 @@ class Finder:
                     comma = True
                 elif bare and not (initial and bare == "."):
                     break
+                dotted = dotted or initial and bare == "." and text[end - 1].isupper()
                 if not comma and len(word) == 1 and not initial:
                     initial, end, j = True, words[j].end(), j + 1
                     continue
@@ -209,7 +217,9 @@ class Finder:
             titled = i > 0 and words[i - 1][0].lower() in _TITLES and text[words[i - 1].end() : m.start()].strip() in ("", ".")
             start = words[i - 1].start() if titled else m.start()
             shaped = bool(right) and _capital(one) and _capital(right)
-            out.append((_fold(one), _fold(right), start, end if right else m.end(), comma, shaped, shaped and (titled or initial or comma)))
+            end = end if right else m.end()
+            cue = shaped and (titled or dotted or bool(self.name_before.search(text[max(0, start - 60) : start]) or self.name_after.match(text[end : end + 40])))
+            out.append((_fold(one), _fold(right), start, end, comma, shaped, shaped and (titled or initial or comma), cue))
         return out
 
 
@@ -225,7 +235,7 @@ def _scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield frame.assign(
             settled=[[{"kind": k, "start": a, "end": b} for k, a, b in s] for s, _, _ in found],
             opened=[[{"kind": k, "start": a, "end": b, "term": t, "cued": c} for k, a, b, t, c in o] for _, o, _ in found],
-            pairs=[[{"l": p[0], "r": p[1], "start": p[2], "end": p[3], "comma": p[4], "shaped": p[5], "strong": p[6]} for p in ps] for _, _, ps in found],
+            pairs=[[{"l": p[0], "r": p[1], "start": p[2], "end": p[3], "comma": p[4], "shaped": p[5], "strong": p[6], "cue": p[7]} for p in ps] for _, _, ps in found],
         )
 
 
@@ -246,7 +256,7 @@ def find_personal(df: DataFrame, record: str, text: str, threshold: float = THRE
     rows = df.select(F.col(record).cast("string").alias("record"), F.col(text).cast("string").alias("text")).where("record IS NOT NULL AND text <> ''").distinct()
     schema = (
         "record string, text string, settled array<struct<kind:string,start:int,end:int>>, opened array<struct<kind:string,start:int,end:int,term:string,cued:boolean>>, "
-        "pairs array<struct<l:string,r:string,start:int,end:int,comma:boolean,shaped:boolean,strong:boolean>>"
+        "pairs array<struct<l:string,r:string,start:int,end:int,comma:boolean,shaped:boolean,strong:boolean,cue:boolean>>"
     )
     scanned = stash.put(spread(spark, rows, "record", "text").mapInPandas(_scan, schema))
     settled = scanned.select("record", "text", F.explode("settled").alias("e")).select("record", "text", "e.kind", "e.start", "e.end")
@@ -269,18 +279,37 @@ def find_personal(df: DataFrame, record: str, text: str, threshold: float = THRE
     pairs = scanned.select("record", "text", F.explode("pairs").alias("e")).select("record", "text", "e.*")
     given, family = F.when(F.col("comma"), F.col("r")).otherwise(F.col("l")), F.when(F.col("comma"), F.col("l")).otherwise(F.col("r"))
     counts = stash.put(pairs.groupBy(F.col("l").alias("term")).agg(F.count("*").alias("n")))
-    slots = pairs.where("shaped").groupBy(given.alias("term"), family.alias("partner")).agg(F.count("*").alias("n"), F.count_if("strong").alias("strong"))
-    slots = slots.groupBy("term").agg(F.count("*").alias("partners"), F.sum("n").alias("both"), F.sum("strong").alias("strong"))
+    slots = pairs.where("shaped").groupBy(given.alias("term"), family.alias("partner")).agg(F.count("*").alias("n"), F.count_if("strong").alias("strong"), F.count_if("cue").alias("cue"))
+    couples = slots
+    slots = slots.groupBy("term").agg(F.count("*").alias("partners"), F.sum("n").alias("both"), F.sum("strong").alias("strong"), F.sum("cue").alias("cue"))
     base = counts.agg(F.sum("n").alias("all")).join(pairs.agg((2 * F.count_if("shaped")).alias("entity")), how="cross")  # one row
     measured = slots.join(counts, "term").join(F.broadcast(base), how="cross")
     known = disclosure(F.col("n"), F.col("both"), F.col("entity") + 1, F.col("all") + 2)
+    measured = stash.put(measured.where((known >= threshold) & (F.col("both") >= 0.3 * F.col("n"))))
     givens = stash.put(measured.where((known >= threshold) & (F.col("both") >= 0.3 * F.col("n")) & ((F.col("partners") >= 3) | (F.col("strong") >= 1) & (F.col("partners") >= 2) | (F.col("strong") >= 2))).select("term"))
     sided = pairs.where("r <> ''").select("record", "text", "start", "end", "shaped", given.alias("given"), family.alias("family"))
     named = stash.put(sided.join(givens.withColumnRenamed("term", "given"), "given", "left_semi"))
     beside = named.groupBy(F.col("family").alias("term")).agg(F.count("*").alias("both")).join(counts, "term", "left")
     families = beside.where(F.col("both") >= 0.5 * F.coalesce("n", "both")).join(givens, "term", "left_anti").select(F.col("term").alias("family"))
+    families = stash.put(families)
     people = named.join(families, "family", "left_semi").select("record", "text", F.lit("person_name").alias("kind"), "start", "end")
-    return rows, settled.unionByName(items).unionByName(people)
+
+    # a rare given name has no partners to count: its pair counts by the words around, or by a family name known already
+    rare = measured.join(givens, "term", "left_anti").select(F.col("term").alias("given"), "both", "cue")
+    given_of, family_of = F.when(F.col("e.comma"), F.col("e.r")).otherwise(F.col("e.l")), F.when(F.col("e.comma"), F.col("e.l")).otherwise(F.col("e.r"))
+    pairs_of = couples.select(F.col("term").alias("given"), F.col("partner").alias("family"), F.col("n").alias("pair"), F.col("cue").alias("pair_cue")).join(rare, "given")
+    beside = couples.groupBy(F.col("partner").alias("family")).agg(F.sum("n").alias("beside")).join(counts.select(F.col("term").alias("family"), F.col("n").alias("alone")), "family", "left")
+    likely = beside.where(F.col("beside") >= 0.5 * F.coalesce("alone", "beside")).select("family")
+    told = pairs_of.where((F.col("pair_cue") > 0) & (F.col("cue") >= 0.5 * F.col("both"))).join(likely, "family", "left_semi").select("given", "family")
+    kin = families.unionByName(told.select("family")).distinct()
+    shared = pairs_of.join(kin, "family", "left_semi").select("given", "family")
+    known_pairs = stash.put(told.unionByName(shared).distinct())
+    # texts are long and have many pairs: their digests go through the join
+    digest = F.sha2("text", 256).alias("digest")
+    light = scanned.select("record", digest, F.explode("pairs").alias("e")).select("record", "digest", "e.start", "e.end", "e.r", given_of.alias("given"), family_of.alias("family"))
+    met = stash.put(light.where("r <> ''").join(known_pairs, ["given", "family"], "left_semi").select("record", "digest", "start", "end"))
+    others = met.join(rows.select("record", "text", digest), ["record", "digest"]).select("record", "text", F.lit("person_name").alias("kind"), "start", "end")
+    return rows, settled.unionByName(items).unionByName(people).unionByName(others)
 
 
 def redact(df: DataFrame, record: str, text: str, threshold: float = THRESHOLD) -> DataFrame:

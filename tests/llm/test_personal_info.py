@@ -37,6 +37,13 @@ def test_look_alikes(spark):
     assert find(spark, texts) == [set()] * len(texts)
 
 
+def test_rare_names(spark):
+    texts = ["is that Orlena Quist on the bus?", "my coach Brandur Helm would sing", "Dr. Yselda Marrow sat there", "Grand Pizza Tuesday", "Captain Noodle enjoyed the sock", "Fenna Vossick again", "Summer Break in the hallway", "Ilmari T. Trost laughs", "so ilmari trost laughs"]
+    found = find(spark, texts)
+    assert [bool(f) for f in found] == [True, True, True, False, False, True, False, True, True]
+    assert {k for f in found for k, _ in f} == {"person_name"}
+
+
 def test_redaction_leaves_the_rest(spark):
     rows = CONTEXT + [("a", "hey 😀 call (702) 555-0131, or kim@example.org!"), ("b", None), ("c", ""), ("d", "plain  text\n"), ("a", "second version"), ("d", "plain  text\n"), (None, "x@y.org"), ("e", "long " * 40_000 + "x@y.org")]
     df = spark.createDataFrame([(*r, "clash", 1) for r in rows], "id string, text string, kind string, start int")
