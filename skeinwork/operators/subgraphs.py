@@ -89,6 +89,13 @@ def compositions(spark: SparkSession, low: int, high: int, most: dict[str, int])
     return spark.createDataFrame(rows, "size int, n_comment int, n_user int, n_video int, n_word int")
 
 
+def every_composition(spark: SparkSession, low: int = 6, high: int = 15) -> DataFrame:
+    """The compositions of each size with a comment and something else, a video at most, and as many of the
+    other types as the size leaves room for."""
+    room = high - 1
+    return compositions(spark, low, high, {"comment": room, "user": room, "video": 1, "word": room}).where("n_comment < size")
+
+
 def session_user_pairs(members: DataFrame, edges: DataFrame) -> DataFrame:
     """``post_id, a, b``: users of a post with an interaction between them.  Driven by the edges, so a post
     with very many users gives no more pairs than interact."""

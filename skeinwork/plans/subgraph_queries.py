@@ -84,7 +84,15 @@ def user_pair_subgraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def composition_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Compositions by type of sizes 4 to 8 that each session's nodes can fill."""
-    c = S.compositions(spark, 4, 8, {"comment": 6, "user": 4, "video": 1, "word": 5})
+    return _filled(spark, sf_dir, S.compositions(spark, 4, 8, {"comment": 6, "user": 4, "video": 1, "word": 5}))
+
+
+def every_composition_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same for sizes 6 to 15, with as many comments, users and words as the size leaves room for."""
+    return _filled(spark, sf_dir, S.every_composition(spark))
+
+
+def _filled(spark: SparkSession, sf_dir: str, c: DataFrame) -> DataFrame:
     m = _members(spark, sf_dir).where("session_no IS NOT NULL").select("session_no", "type", "id").distinct()
     have = m.groupBy("session_no").agg(*[F.count_if(F.col("type") == t).alias(f"h_{t}") for t in S.TYPES])
     fits = have.join(F.broadcast(c), (F.col("n_comment") <= F.col("h_comment")) & (F.col("n_user") <= F.col("h_user")) & (F.col("n_video") <= F.col("h_video")) & (F.col("n_word") <= F.col("h_word")))
@@ -291,7 +299,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         subgraph_structure, subgraph_edge_counts, subgraph_dedupe, subgraph_dedupe_untyped, subgraph_validity, subgraph_connectivity, subgraph_type_mix, subgraph_session_index, capped_session_nodes,
-        induced_edges, user_pair_subgraphs, composition_counts, sliding_comments, greedy_growth_subgraphs, incremental_subgraphs, subgraph_emotion, threshold_sweep, negative_subgraph_filter, emotion_stats, size_bins,
+        induced_edges, user_pair_subgraphs, composition_counts, every_composition_counts, sliding_comments, greedy_growth_subgraphs, incremental_subgraphs, subgraph_emotion, threshold_sweep, negative_subgraph_filter, emotion_stats, size_bins,
         tertile_bins, cluster_quality, cluster_cohesion, cluster_medoids, prototypes, dbscan, prototype_similarity, session_match_features, aligner_features, weight_search, merged_clusterings, confusion_metrics, similar_vectors,
         random_forest_detect, logistic_detect, perceptron_detect,
     )
@@ -362,6 +370,10 @@ SELECT x.post_id, a, b FROM p JOIN m x ON x.user_id = a JOIN m y ON y.user_id =
     "composition_counts": f"""WITH {SUBGRAPHS}, m AS (SELECT DISTINCT session_no, kind, id FROM el WHERE session_no IS NOT NULL),
 h AS (SELECT session_no, """ + ", ".join(f"count(*) FILTER (kind = '{t}') AS h_{t}" for t in S.TYPES) + """ FROM m GROUP BY session_no),
 c AS (SELECT a AS n_comment, b AS n_user, v AS n_video, w AS n_word, (a + b + v + w)::INT AS size FROM range(1, 7) t1(a), range(0, 5) t2(b), range(0, 2) t3(v), range(0, 6) t4(w) WHERE a + b + v + w BETWEEN 4 AND 8)
+SELECT session_no, size, count(*) AS compositions FROM h JOIN c ON n_comment <= h_comment AND n_user <= h_user AND n_video <= h_video AND n_word <= h_word GROUP BY 1, 2""",
+    "every_composition_counts": f"""WITH {SUBGRAPHS}, m AS (SELECT DISTINCT session_no, kind, id FROM el WHERE session_no IS NOT NULL),
+h AS (SELECT session_no, """ + ", ".join(f"count(*) FILTER (kind = '{t}') AS h_{t}" for t in S.TYPES) + """ FROM m GROUP BY session_no),
+c AS (SELECT z::INT AS size, a AS n_comment, b AS n_user, v AS n_video, z - a - b - v AS n_word FROM range(6, 16) t0(z), range(1, 15) t1(a), range(0, 15) t2(b), range(0, 2) t3(v) WHERE a < z AND a + b + v <= z)
 SELECT session_no, size, count(*) AS compositions FROM h JOIN c ON n_comment <= h_comment AND n_user <= h_user AND n_video <= h_video AND n_word <= h_word GROUP BY 1, 2""",
     "sliding_comments": f"""WITH {NODES}, r AS (SELECT post_id, id, lead(id) OVER w AS i2, lead(id, 2) OVER w AS i3, (row_number() OVER w - 1)::INT AS start FROM n WHERE post_id IS NOT NULL WINDOW w AS (PARTITION BY post_id ORDER BY id))
 SELECT post_id, start, concat_ws(',', id, i2, i3) AS ids FROM r WHERE i3 IS NOT NULL""",

@@ -176,6 +176,12 @@ def test_growth_is_connected_and_bounded(spark, strategy):
     assert len(grown["nodes"]) == 5 and "comment:9" not in grown["nodes"] and "comment:1" in grown["nodes"]
 
 
+def test_every_composition(spark):
+    got = {tuple(r) for r in subgraphs.every_composition(spark).collect()}
+    assert got == {(n, c, u, v, n - c - u - v) for n in range(6, 16) for c in range(1, n) for u in range(n - c + 1) for v in range(min(n - c - u, 1) + 1)}
+    assert (15, 2, 6, 1, 6) in got and (6, 6, 0, 0, 0) not in got
+
+
 def test_hetero(spark):
     nodes = spark.createDataFrame([("u", "b", [1.0, 2.0]), ("u", "a", [3.0, 2.0]), ("w", "z", [0.0])], "type string, key string, features array<double>")
     ids = {(r["type"], r["key"]): r["id"] for r in hetero.dense_ids(nodes).collect()}
