@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from skeinwork.operators.sampling import hash_rank, top_per_group
+from skeinwork.storage import Stash
 
 TYPES = ("comment", "user", "video", "word")
 
@@ -113,20 +114,29 @@ def grow(seeds: DataFrame, edges: DataFrame, size: int, strategy: str = "compact
     chosen, up to ``size``.
 
     compact: by type (comment, user, word, ...), then id; balanced: by type and by id in turn; extensive:
-    types not present yet first.  Input is the two-step neighbourhood of each seed, cut to the ``size``
-    least nodes a step and node, which is all that growth can reach by these rules; one group is a seed.
-    ``edges``: a, b as 'type:id', undirected.  ``nodes`` are sorted, ``added`` is the order of growth.
+    types not present yet first.  Neighbours are cut to the ``size`` least of each type and node, more than
+    growth can take.  Those of the first ``reach`` steps are fetched at once; a seed that chooses a node
+    beyond waits for its neighbours, fetched by a join for all such seeds, so that growth goes as far as
+    it has to.  One group is a seed.  ``edges``: a, b as 'type:id', undirected.  ``nodes`` are sorted,
+    ``added`` is the order of growth.
     """
-    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct()
+    stash = Stash(edges.sparkSession, "grow")
+    links = stash.put(edges.select("a", "b").where("a <> b"))
     kind = F.split("b", ":")[0]
     order = [F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in _RANK.items() for x in kv]), kind), F.lit(9)), F.col("b")]
-    near = top_per_group(both.withColumn("_kind", kind), ["a", "_kind"], order, size).drop("_kind")
-    hop = seeds.select("seed", F.col("seed").alias("a"))
+
+    def neighbours(of: DataFrame) -> DataFrame:
+        """``seed, a, b`` for ``seed, a``; only the edges of these nodes are shuffled."""
+        ends = of.select("a").distinct()
+        both = links.join(ends, "a", "left_semi").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")).join(ends, "a", "left_semi"))
+        near = top_per_group(both.distinct().withColumn("_kind", kind), ["a", "_kind"], order, size)
+        return of.join(near, "a").select("seed", "a", "b").distinct()
+
+    hop = stash.put(seeds.select("seed", F.col("seed").alias("a")).distinct())
     parts = []
     for _ in range(reach):
-        step = hop.join(near, "a").select("seed", "a", "b").distinct()
-        parts.append(step)
-        hop = step.select("seed", F.col("b").alias("a")).distinct()
+        parts.append(stash.put(neighbours(hop)))
+        hop = stash.put(parts[-1].select("seed", F.col("b").alias("a")).distinct())
     local = parts[0]
     for part in parts[1:]:
         local = local.unionByName(part)
@@ -134,9 +144,9 @@ def grow(seeds: DataFrame, edges: DataFrame, size: int, strategy: str = "compact
     def build(frame: pd.DataFrame) -> pd.DataFrame:
         near_by = defaultdict(set)
         for a, b in zip(frame["a"], frame["b"]):
-            near_by[a].add(b), near_by[b].add(a)
+            near_by[a].add(b)
         seed = frame["seed"].iloc[0]
-        chosen, open_ = [seed], set(near_by[seed])
+        chosen, open_, wanted = [seed], set(near_by[seed]), None
         rank = lambda n: (_RANK.get(n.split(":")[0], 9), n)
         while len(chosen) < size and open_:
             have = {c.split(":")[0] for c in chosen}
@@ -147,11 +157,25 @@ def grow(seeds: DataFrame, edges: DataFrame, size: int, strategy: str = "compact
             else:
                 pick = min(open_, key=rank)
             chosen.append(pick)
+            if pick not in near_by and len(chosen) < size:
+                wanted = pick
+                break
             open_ |= near_by[pick]
             open_ -= set(chosen)
-        return pd.DataFrame({"seed": [seed], "nodes": [sorted(chosen)], "added": [chosen]})
-
-    return local.distinct().groupBy("seed").applyInPandas(build, "seed string, nodes array<string>, added array<string>")
+        return pd.DataFrame({"seed": [seed], "nodes": [sorted(chosen)], "added": [chosen], "wanted": pd.Series([wanted], dtype="object")})
+
+    done, local = [], stash.put(local.distinct())
+    while True:
+        grown = stash.put(local.groupBy("seed").applyInPandas(build, "seed string, nodes array<string>, added array<string>, wanted string"))
+        done.append(grown.where("wanted IS NULL").select("seed", "nodes", "added"))
+        waiting = grown.where("wanted IS NOT NULL").select("seed", F.col("wanted").alias("a"))
+        if waiting.isEmpty():
+            break
+        local = stash.put(local.join(waiting.select("seed"), "seed", "left_semi").unionByName(neighbours(waiting)))
+    out = done[0]
+    for part in done[1:]:
+        out = out.unionByName(part)
+    return out
 
 
 def at_each_size(grown: DataFrame, low: int, high: int) -> DataFrame:

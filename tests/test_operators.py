@@ -182,6 +182,31 @@ def test_every_composition(spark):
     assert (15, 2, 6, 1, 6) in got and (6, 6, 0, 0, 0) not in got
 
 
+@pytest.mark.parametrize("strategy", ["compact", "balanced", "extensive"])
+def test_growth_beyond_two_steps(spark, strategy):
+    rng = random.Random(4)
+    chain = [f"{'comment' if i % 2 == 0 else 'user'}:{i:02}" for i in range(20)]
+    nodes = [f"{rng.choice(['comment', 'user', 'word'])}:n{i:02}" for i in range(60)]
+    edges = list(zip(chain, chain[1:])) + [tuple(rng.sample(nodes, 2)) for _ in range(75)]
+    near = defaultdict(set)
+    for a, b in edges:
+        near[a].add(b), near[b].add(a)
+    rank = lambda n: (["comment", "user", "word"].index(n.split(":")[0]), n)
+    want = {}
+    for seed in [chain[0]] + sorted(n for n in near if n.startswith("comment:n")):
+        chosen = [seed]
+        while len(chosen) < 9 and (free := {n for c in chosen for n in near[c]} - set(chosen)):
+            have = {c.split(":")[0] for c in chosen}
+            if strategy == "extensive":
+                chosen.append(min(free, key=lambda n: (n.split(":")[0] in have, rank(n))))
+            else:
+                chosen.append(min(free) if strategy == "balanced" and len(chosen) % 2 else min(free, key=rank))
+        want[seed] = chosen
+    grown = subgraphs.grow(spark.createDataFrame([(k,) for k in want], "seed string"), spark.createDataFrame(edges, "a string, b string"), 9, strategy)
+    assert {r["seed"]: r["added"] for r in grown.collect()} == want
+    assert len(want[chain[0]]) == 9
+
+
 def test_hetero(spark):
     nodes = spark.createDataFrame([("u", "b", [1.0, 2.0]), ("u", "a", [3.0, 2.0]), ("w", "z", [0.0])], "type string, key string, features array<double>")
     ids = {(r["type"], r["key"]): r["id"] for r in hetero.dense_ids(nodes).collect()}
