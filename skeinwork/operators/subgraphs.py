@@ -1,4 +1,4 @@
-"""Small typed subgraphs of sessions: enumeration, growth, edges, dedupe, structure."""
+"""Small typed subgraphs of sessions: compositions, growth, edges, dedupe, structure."""
 
 from __future__ import annotations
 
