@@ -157,7 +157,8 @@ def shared_chars(df: DataFrame, record: str, text: str, span: int = 100, gram: i
     positions reported are those of each text, united.
     """
     spark = df.sparkSession
-    gram = gram or max(1, span // 2)
+    # a run has at most span - gram + 1 windows, and their coverage is a mask of 64 bits
+    gram = max(gram or span // 2, span - 61, 1)
     key_type = df.schema[record].dataType.simpleString()
     stash = Stash(spark, "spans")
     rows = df.select(F.col(record).alias("key"), F.col(text).cast("string").alias("text")).where(F.col("key").isNotNull() & (F.char_length("text") >= span))

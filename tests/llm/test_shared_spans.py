@@ -34,6 +34,14 @@ def test_against_brute_force(spark, span):
     assert run(spark, rows, span) == brute(rows, span)
 
 
+def test_long_spans(spark):
+    rng = random.Random(9)
+    draw = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n))
+    common = [draw(n) for n in (300, 420, 650, 1100)]
+    rows = [(i, draw(rng.randint(0, 90)) + rng.choice(common)[rng.randint(0, 60) :] + draw(rng.randint(0, 90))) for i in range(24)]
+    assert run(spark, rows, 300) == brute(rows, 300)
+
+
 def test_edges(spark):
     a, b = "x1" * 60, "".join(chr(97 + i % 26) + str(i) for i in range(80))
     rows = [(1, b[:100]), (2, "zz" + b[:100] + "yy"), (3, b[:99]), (4, a), (5, None), (6, ""), (None, b), (7, b[1:101]), (8, "q" * 500), (8, "q" * 500), (9, "ab" * 30 + b[:100] + "ab" * 30 + b[:100])]
