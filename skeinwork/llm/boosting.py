@@ -97,16 +97,20 @@ class Boosted:
 
 
 def isotonic(score: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Knots (score, probability) of the non-decreasing fit, by pooling adjacent violators."""
+    """Knots (score, probability) of the non-decreasing fit, by pooling adjacent violators.
+
+    A pooled block is one knot at its mean score, and its probability is smoothed by one case of each
+    kind, so that between the blocks, and for small ones, the fit is no step function of few values.
+    """
     order = np.argsort(score, kind="stable")
-    blocks: list[list[float]] = []  # sum of y, rows, least score, greatest score
+    blocks: list[list[float]] = []  # sum of y, rows, sum of scores
     for s, t in zip(score[order], y[order]):
-        blocks.append([float(t), 1.0, float(s), float(s)])
+        blocks.append([float(t), 1.0, float(s)])
         while len(blocks) > 1 and blocks[-2][0] * blocks[-1][1] >= blocks[-1][0] * blocks[-2][1]:
             last = blocks.pop()
-            blocks[-1] = [blocks[-1][0] + last[0], blocks[-1][1] + last[1], blocks[-1][2], last[3]]
-    x = np.array([v for b in blocks for v in (b[2], b[3])])
-    p = np.array([v for b in blocks for v in ((b[0] / b[1],) * 2)])
+            blocks[-1] = [a + b for a, b in zip(blocks[-1], last)]
+    x = np.array([s / n for _, n, s in blocks])
+    p = np.maximum.accumulate(np.array([(t + 1) / (n + 2) if 0 < t < n else (t + 0.5) / (n + 1) for t, n, _ in blocks]))
     return x, p
 
 
@@ -118,15 +122,21 @@ class Calibrated:
     knots: tuple[np.ndarray, np.ndarray]
 
     @classmethod
-    def fit(cls, x: np.ndarray, y: np.ndarray, folds: int = 5, **options) -> Calibrated:
+    def fit(cls, x: np.ndarray, y: np.ndarray, folds: int = 5, repeats: int = 3, **options) -> Calibrated:
         model = Boosted(**options).fit(x, y)
         if len(y) < 4 * folds or y.min() == y.max():
             return cls(model, (np.array([-1e9, 1e9]), np.full(2, y.mean() if len(y) else 0.0)))
-        fold = np.random.default_rng(3).permutation(len(y)) % folds
-        out = np.zeros(len(y))
-        for k in range(folds):
-            out[fold == k] = Boosted(**options).fit(x[fold != k], y[fold != k]).score(x[fold == k])
-        return cls(model, isotonic(out, y))
+        rng, scores = np.random.default_rng(3), []
+        for _ in range(repeats):
+            fold, out = rng.permutation(len(y)) % folds, np.zeros(len(y))
+            for k in range(folds):
+                out[fold == k] = Boosted(**options).fit(x[fold != k], y[fold != k]).score(x[fold == k])
+            scores.append(out)
+        return cls(model, isotonic(np.concatenate(scores), np.tile(y, repeats)))
 
     def predict(self, x: np.ndarray) -> np.ndarray:
-        return np.interp(self.model.score(x), *self.knots)
+        """Calibrated probabilities; beyond the outer knots a twentieth of what is left keeps the order of scores."""
+        score, (knots, p) = self.model.score(x), self.knots
+        inner = np.interp(score, knots, p)
+        over, under = np.maximum(0.0, score - knots[-1]), np.maximum(0.0, knots[0] - score)
+        return inner + (1 - inner) * 0.05 * (1 - np.exp(-over)) - inner * 0.05 * (1 - np.exp(-under))

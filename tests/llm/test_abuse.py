@@ -1,4 +1,9 @@
+import os
+import re
+import zlib
+
 import numpy as np
+import pytest
 
 from skeinwork.llm import abuse
 from skeinwork.llm.boosting import Boosted, Calibrated, isotonic
@@ -67,17 +72,41 @@ def test_boosting_on_held_out_rows():
 
 def test_isotonic_is_monotone():
     x, p = isotonic(np.array([3.0, 1.0, 2.0, 4.0, 5.0]), np.array([0.0, 0.0, 1.0, 1.0, 1.0]))
-    assert (np.diff(p) >= 0).all() and x.tolist() == sorted(x.tolist()) and p[-1] == 1
+    assert (np.diff(p) >= 0).all() and x.tolist() == sorted(x.tolist()) and 0.5 < p[-1] < 1
+
 
+def skeleton(text):
+    """A text without mentions, numbers and its rarer words, so that wordings of one kind fall together."""
+    return " ".join(re.sub(r"@\S+|\d+", "", text.lower()).split()[:3])
 
-def test_accuracy_on_held_out_samples(spark):
-    """Fitted on the project's examples but every fifth, applied to those."""
-    import os
 
+def test_accuracy_on_held_out_wordings(spark):
+    """Fitted on the project's examples but a fifth of their wordings, applied to those; every fifth in turn."""
     path = "/root/testdata/sf0.01/abuse_samples.parquet"
     if not os.path.exists(path):
-        return
-    s = spark.read.parquet(path)
-    m = abuse.fit(s.where("sample_id % 5 <> 0"), "sample_id", "sample_text", "verdict", [])
-    out = abuse.score(s.where("sample_id % 5 = 0"), "sample_id", "sample_text", m, [], ("verdict",)).collect()
-    assert np.mean([(r["score"] >= 0.5) == (r["verdict"] != "none") for r in out]) > 0.9
+        pytest.skip("no examples here")
+    rows = [r for r in spark.read.parquet(path).orderBy("sample_id").collect() if r["sample_text"] and r["verdict"]]
+    y = np.array([float(r["verdict"] != "none") for r in rows])
+    fold = np.array([zlib.crc32(skeleton(r["sample_text"]).encode()) % 5 for r in rows])
+    texts, p = [r["sample_text"] for r in rows], np.zeros(len(rows))
+    for k in range(5):
+        m = abuse.Scorer.fit([t for t, f in zip(texts, fold) if f != k], y[fold != k], [])
+        p[fold == k] = m.predict([t for t, f in zip(texts, fold) if f == k], [])
+    assert ((p >= 0.5) == y).mean() > 0.9
+    assert len(np.unique(p.round(6))) > 20
+
+
+def test_sentences_and_contractions(spark):
+    """Wordings of no example and no table; an apostrophe opens no quotation."""
+    m = model(spark)
+    bad = [
+        "you are a stupid idiot and you cannot change that", "you're a stupid idiot and you can't change that", "you’re a stupid idiot and you can’t change that", "don't you get it, you stupid moron, nobody's fooled",
+        "drink bleach", "I will carve you up tonight", "your face makes babies cry", "those immigrants are a disease", "people from that country are parasites, they should all be locked away",
+    ]
+    good = ["he said 'you are a loser' to me and i walked away", "she wrote \"" + "nobody likes you and " * 20 + "you idiot\" under it", "it's the dogs' bowl, isn't it", "we'll beat you at chess", "i love this dog"]
+    p = m.predict(bad + good, [])
+    assert (p[: len(bad)] >= 0.5).all() and (p[len(bad) :] < 0.5).all(), dict(zip(bad + good, p))
+
+
+def test_nearest_positions():
+    assert abuse.nearest([1, 9], [4, 20]) == 3 and abuse.nearest([], [1]) is None
