@@ -7,12 +7,16 @@ occurs without c and 0 if it is independent of it.  The corpus itself is the evi
 * Forms that a reader recognises without help (e-mail addresses, numbers or house numbers next to a
   cue) are *settled* entities and the seed of the estimates.
 * A form that needs help (a number or a street without a cue) takes the disclosure of its term, the
-  label word before the number or the street's name, measured over all settled and open forms.
+  label word before the number or the street's name, measured over all settled and open forms of its
+  kind.  IC(c) is one number for a kind, so bounds are set on the PMI: a form sure by its shape is
+  given up where even a generous estimate of the term's PMI is low, one that is not (bare digits) is
+  taken where even a cautious estimate is high enough.
 * Person names are pairs of terms.  A term discloses a person as a given name if its occurrences
   stand in name-shaped pairs with changing partners; a partner does as a family name if its
   occurrences stand beside such given names.  Pairs of two disclosing terms are names in any case.
-  A given name too rare for that counts in a pair that a title, a dotted initial or the words around
-  mark as a person, or in a name-shaped pair with a family name disclosed already.
+  A given name too rare for that counts in a pair that a dotted initial or the words around mark as
+  a person, or in a name-shaped pair with a family name disclosed already.  A pair once seen with a
+  title is a person wherever it stands, however rare.
 
 Terms above the thresholds are replaced by placeholders; the rest of the text stays as it was.
 Estimates use all rows.  Term tables are joined, not shipped, so vocabularies may be of any size.
@@ -20,6 +24,7 @@ Estimates use all rows.  Term tables are joined, not shipped, so vocabularies ma
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pandas as pd
@@ -31,8 +36,8 @@ from skeinwork.storage import Stash, spread
 KINDS = ("email", "phone", "id_number", "address", "person_name")
 #: Least disclosure at which a term gives an open form or a name away.
 THRESHOLD = 0.75
-#: An open form's label counts as evidence against it from so many occurrences on.
-MIN_EVIDENCE = 3
+#: Lift exp(PMI) of the settled forms among a term's, up to which the term speaks against a form, and from which for one.
+AGAINST, IN_FAVOUR = 0.25, 0.3
 
 _DIGIT_WORD = r"(?:zero|oh|one|two|three|four|five|six|seven|eight|nine)"
 _SPELLED = rf"{_DIGIT_WORD}(?:[\s,\-]+{_DIGIT_WORD}){{6,14}}"
@@ -83,6 +88,8 @@ _TITLES = {"mr", "mrs", "ms", "miss", "dr", "prof", "sir", "madam", "mx"}
 _RELATION = r"(?:coach|teacher|tutor|professor|friend|bestie|buddy|mate|neighbou?r|cousin|brother|sister|uncle|aunt|boss|manager|classmate|teammate|roommate|colleague|girlfriend|boyfriend|husband|wife|son|daughter|principal|doctor)"
 #: What stands right before or after a person's name; a word pair there is a name unless it mostly stands elsewhere.
 NAME_BEFORE = rf"\b(?:(?:my|our|your|his|her|their)\s+(?:\p{{L}}+\s+)?{_RELATION}|is\s+that|this\s+is|it['’]?s|shout\s?-?out\s+to|happy\s+birthday|(?:everybody|everyone)\s+knows|named|name\s+is|i\s+am|i['’]m)[\s,:]+$"
+#: Words between a label and its number that label nothing themselves.
+_LINKING = {"is", "was", "are", "be", "it", "its", "mine", "my", "number", "no", "nr", "here", "the"}
 NAME_AFTER = r"\s+(?:from\s+(?:my|our)\s+\p{L}+|you\s+are|you['’]re|ur)\b"
 
 
@@ -113,18 +120,26 @@ class Finder:
         self.next = regex.compile(r"\s(\p{L}+)")
         self.digits = regex.compile(r"\p{Nd}")
         self.name_before, self.name_after = regex.compile(NAME_BEFORE, i), regex.compile(NAME_AFTER, i)
+        self.maybe_mail, self.number = regex.compile(r"[@＠]|\bat\b", i), regex.compile(rf"\p{{N}}|\b{_DIGIT_WORD}[\s,\-]+{_DIGIT_WORD}\b", i)
+        self.dot = regex.compile(r"[.．]|\bdot\b", i)
         self.after = regex.compile(r"^\s*,?\s*(?:apt\b|unit\b|be there|\p{Lu}\p{L}+)", 0)
 
     def find(self, text: str):
-        taken: list[tuple[int, int]] = []
+        starts: list[int] = []  # of the spans taken, sorted and apart from each other
+        ends: list[int] = []
         settled: list[tuple[str, int, int]] = []
         opened: list[tuple[str, int, int, str, bool]] = []
 
         def free(a: int, b: int) -> bool:
-            return all(b <= x or a >= y for x, y in taken)
+            i = bisect_right(starts, a)
+            return (i == 0 or ends[i - 1] <= a) and (i == len(starts) or b <= starts[i])
+
+        def take(a: int, b: int) -> None:
+            i = bisect_right(starts, a)
+            starts.insert(i, a), ends.insert(i, b)
 
         def settle(kind: str, a: int, b: int) -> None:
-            taken.append((a, b))
+            take(a, b)
             settled.append((kind, a, b))
 
         def nearby(a: int, b: int) -> str:
@@ -135,19 +150,32 @@ class Finder:
             found = self.label.search(text[max(0, a - 40) : a])
             return _fold(found[1]) if found else ""
 
+        def named_before(a: int) -> str:
+            """The label before a number, looking past words that label nothing; '' where there is none."""
+            words = self.word.findall(text[max(0, a - 60) : a])
+            while words and _fold(words[-1]) in _LINKING:
+                words.pop()
+            return _fold(words[-1]) if words else ""
+
         def follows(b: int) -> str:
             """The word right after a number that no label precedes, marked as such."""
             found = self.next.match(text[b : b + 40])
             return ">" + _fold(found[1]) if found else ""
 
-        for m in self.email.finditer(text):
-            settle("email", *m.span())
+        if self.maybe_mail.search(text) and self.dot.search(text):
+            for m in self.email.finditer(text):
+                settle("email", *m.span())
+        if not self.number.search(text):  # no kind but mail and names is without
+            return settled, opened, self.pairs(text, starts, ends)
         for m in self.id_cued.finditer(text):
             value = m["v"]
             number = len(self.digits.findall(value)) or 9
-            if number >= 5 and free(*m.span("v")):
-                a, b = m.span("v")
-                settle("id_number", a, b - (len(value) - len(value.rstrip(" -."))))
+            a, b = m.span("v")
+            b -= len(value) - len(value.rstrip(" -."))
+            if number >= 5 and free(a, b):
+                settle("id_number", a, b)
+                if self.id_open.fullmatch(text[a:b]):
+                    opened.append(("id_seen", a, b, before(a), True))
         for m in self.id_form.finditer(text):
             if free(*m.span()):
                 settle("id_number", *m.span())
@@ -157,7 +185,7 @@ class Finder:
                 number = len(self.digits.findall(m[0])) or len(m[0].split())
                 if not free(a, b) or not 7 <= number <= 15:
                     continue
-                taken.append((a, b))
+                take(a, b)
                 # a country code or an area code in brackets is as good as a cue
                 cued = m[0][0] in "+(" or bool(self.phone_cue.search(nearby(a, b)))
                 term = before(a)
@@ -172,21 +200,29 @@ class Finder:
             cued = bool(self.address_cue.search(" ".join(text[max(0, a - 50) : a].split()[-6:]))) or bool(self.after.search(text[b : b + 30]) and text[b : b + 1] == ",")
             if not cued and name.islower() and self.vague.search(m[0]):
                 continue
-            taken.append((a, b))
+            take(a, b)
             opened.append(("address", a, b, _fold(name.split()[0] if len(name.split()) == 1 else name), cued))
         for m in self.id_open.finditer(text):
             if free(*m.span()):
-                taken.append(m.span())
-                opened.append(("id_number", *m.span(), before(m.start()), False))
-        return settled, opened, self.pairs(text, taken)
+                take(*m.span())
+                opened.append(("id_number", *m.span(), named_before(m.start()), False))
+        return settled, opened, self.pairs(text, starts, ends)
 
-    def pairs(self, text: str, taken: list[tuple[int, int]]):
-        """(left, right, start, end, comma, shaped, strong, cue) for every word and the next name-like one.
+    def pairs(self, text: str, starts: list[int], ends: list[int]):
+        """(left, right, start, end, comma, shaped, strong, cue, titled) for every word and the next name-like one.
 
         ``right`` is '' where none follows.  An initial or particles may stand between; single letters
         and particles start no pair.  ``cue``: a title, a dotted initial or the words around say it is a person.
         """
-        words = [m for m in self.word.finditer(text) if all(m.end() <= x or m.start() >= y for x, y in taken)]
+        words = list(self.word.finditer(text))
+        if starts:
+            kept, at = [], 0
+            for m in words:
+                while at < len(ends) and ends[at] <= m.start():
+                    at += 1
+                if at == len(ends) or m.end() <= starts[at]:
+                    kept.append(m)
+            words = kept
         out = []
         for i, m in enumerate(words):
             one = m[0]
@@ -219,7 +255,7 @@ class Finder:
             shaped = bool(right) and _capital(one) and _capital(right)
             end = end if right else m.end()
             cue = shaped and (titled or dotted or bool(self.name_before.search(text[max(0, start - 60) : start]) or self.name_after.match(text[end : end + 40])))
-            out.append((_fold(one), _fold(right), start, end, comma, shaped, shaped and (titled or initial or comma), cue))
+            out.append((_fold(one), _fold(right), start, end, comma, shaped, shaped and (titled or initial or comma), cue, shaped and titled))
         return out
 
 
@@ -230,12 +266,13 @@ def _scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     if not _finder:
         _finder.append(Finder())
     find = _finder[0].find
+    names = ("l", "r", "start", "end", "comma", "shaped", "strong", "cue", "titled")
     for frame in frames:
-        found = [find(t) for t in frame["text"]]
+        found = [find(t) for t in frame.pop("text")]
         yield frame.assign(
             settled=[[{"kind": k, "start": a, "end": b} for k, a, b in s] for s, _, _ in found],
             opened=[[{"kind": k, "start": a, "end": b, "term": t, "cued": c} for k, a, b, t, c in o] for _, o, _ in found],
-            pairs=[[{"l": p[0], "r": p[1], "start": p[2], "end": p[3], "comma": p[4], "shaped": p[5], "strong": p[6], "cue": p[7]} for p in ps] for _, _, ps in found],
+            pairs=[[dict(zip(names, p)) for p in ps] for _, _, ps in found],
         )
 
 
@@ -251,64 +288,71 @@ def find_personal(df: DataFrame, record: str, text: str, threshold: float = THRE
     Repeated rows count once.  Null records and null or empty texts hold no items.  Start and end are
     character positions in the text, from 0.
     """
+    rows, items = search(df, record, text, threshold)
+    return rows.select("record", "text"), items.join(rows, ["record", "digest"]).select("record", "text", "kind", "start", "end")
+
+
+def search(df: DataFrame, record: str, text: str, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
+    """(rows: record, text, digest; items: record, digest, kind, start, end), as ``find_personal``.
+
+    Texts are read once; from then on the digest of a text stands for it.
+    """
     spark = df.sparkSession
     stash = Stash(spark, "personal")
-    rows = df.select(F.col(record).cast("string").alias("record"), F.col(text).cast("string").alias("text")).where("record IS NOT NULL AND text <> ''").distinct()
+    plain = df.select(F.col(record).cast("string").alias("record"), F.col(text).cast("string").alias("text")).where("record IS NOT NULL AND text <> ''")
+    rows = plain.distinct().withColumn("digest", F.sha2("text", 256))
     schema = (
-        "record string, text string, settled array<struct<kind:string,start:int,end:int>>, opened array<struct<kind:string,start:int,end:int,term:string,cued:boolean>>, "
-        "pairs array<struct<l:string,r:string,start:int,end:int,comma:boolean,shaped:boolean,strong:boolean,cue:boolean>>"
+        "record string, digest string, settled array<struct<kind:string,start:int,end:int>>, opened array<struct<kind:string,start:int,end:int,term:string,cued:boolean>>, "
+        "pairs array<struct<l:string,r:string,start:int,end:int,comma:boolean,shaped:boolean,strong:boolean,cue:boolean,titled:boolean>>"
     )
-    scanned = stash.put(spread(spark, rows, "record", "text").mapInPandas(_scan, schema))
-    settled = scanned.select("record", "text", F.explode("settled").alias("e")).select("record", "text", "e.kind", "e.start", "e.end")
+    scanned = stash.put(spread(spark, plain, "record", "text").distinct().select("record", F.sha2("text", 256).alias("digest"), "text").mapInPandas(_scan, schema))
+    settled = scanned.select("record", "digest", F.explode("settled").alias("e")).select("record", "digest", "e.kind", "e.start", "e.end")
 
-    opened = scanned.select("record", "text", F.explode("opened").alias("e")).select("record", "text", "e.*")
-    form = F.when(F.col("kind") == "phone_bare", "phone").otherwise(F.col("kind"))
-    opened = opened.withColumn("form", form)
+    opened = scanned.select("record", "digest", F.explode("opened").alias("e")).select("record", "digest", "e.*")
+    opened = opened.withColumn("form", F.when(F.col("kind") == "phone_bare", "phone").when(F.col("kind") == "id_seen", "id_number").otherwise(F.col("kind")))
     terms = opened.groupBy("form", "term").agg(F.count("*").alias("n"), F.count_if("cued").alias("both"))
-    totals = terms.groupBy("form").agg(F.sum("n").alias("all"), F.sum("both").alias("entity"))
+    totals = terms.groupBy("form").agg(F.nullif(F.sum("both") / F.sum("n"), F.lit(0.0)).alias("base"))  # null where no form is settled
     terms = terms.join(F.broadcast(totals), "form")  # one row for each form
-    # share of the term's forms that a cue settles, against the share of all
-    against = (F.col("term") != "") & (F.col("n") >= MIN_EVIDENCE) & (F.col("both") / F.col("n") < 0.25 * F.col("entity") / F.col("all"))
-    in_favour = (F.col("term") != "") & (F.col("n") >= MIN_EVIDENCE) & (F.col("both") / F.col("n") >= 0.3 * F.col("entity") / F.col("all"))
-    verdicts = terms.select("form", "term", against.alias("against"), in_favour.alias("for"))
-    judged = opened.join(verdicts, ["form", "term"])
-    # an SSN-like number takes a label that names nothing else; bare digits take one that names phones
-    accept = F.when(F.col("cued"), True).when(F.col("kind") == "phone_bare", F.col("for")).when(F.col("kind") == "id_number", (F.col("term") == "")).otherwise(~F.col("against"))
-    items = judged.where(accept).select("record", "text", F.col("form").alias("kind"), "start", "end")
-
-    pairs = scanned.select("record", "text", F.explode("pairs").alias("e")).select("record", "text", "e.*")
+    # lift of the settled forms among the term's; one form more is taken to be as all are, or not settled
+    generous, cautious = (F.col("both") + F.col("base")) / (F.col("n") + 1) / F.col("base"), F.col("both") / (F.col("n") + 1) / F.col("base")
+    verdicts = terms.select("form", "term", (F.col("term") != "").alias("named"), generous.alias("generous"), cautious.alias("cautious"))
+    judged = opened.where("kind <> 'id_seen'").join(verdicts, ["form", "term"])
+    against = F.col("named") & F.coalesce(F.col("generous") <= AGAINST + 1e-9, F.lit(False))
+    favour = F.col("named") & F.coalesce(F.col("cautious") >= IN_FAVOUR, F.lit(False))
+    # an SSN-like number takes no label or one of social security numbers; bare digits take one that names phones
+    accept = F.when(F.col("cued"), True).when(F.col("kind") == "phone_bare", favour).when(F.col("kind") == "id_number", ~F.col("named") | favour).otherwise(~against)
+    items = judged.where(accept).select("record", "digest", F.col("form").alias("kind"), "start", "end")
+
+    pairs = scanned.select("record", "digest", F.explode("pairs").alias("e")).select("record", "digest", "e.*")
     given, family = F.when(F.col("comma"), F.col("r")).otherwise(F.col("l")), F.when(F.col("comma"), F.col("l")).otherwise(F.col("r"))
     counts = stash.put(pairs.groupBy(F.col("l").alias("term")).agg(F.count("*").alias("n")))
-    slots = pairs.where("shaped").groupBy(given.alias("term"), family.alias("partner")).agg(F.count("*").alias("n"), F.count_if("strong").alias("strong"), F.count_if("cue").alias("cue"))
-    couples = slots
+    slots = pairs.where("shaped").groupBy(given.alias("term"), family.alias("partner")).agg(F.count("*").alias("n"), F.count_if("strong").alias("strong"), F.count_if("cue").alias("cue"), F.count_if("titled").alias("titled"))
+    couples = stash.put(slots)
+    slots = couples
     slots = slots.groupBy("term").agg(F.count("*").alias("partners"), F.sum("n").alias("both"), F.sum("strong").alias("strong"), F.sum("cue").alias("cue"))
     base = counts.agg(F.sum("n").alias("all")).join(pairs.agg((2 * F.count_if("shaped")).alias("entity")), how="cross")  # one row
     measured = slots.join(counts, "term").join(F.broadcast(base), how="cross")
     known = disclosure(F.col("n"), F.col("both"), F.col("entity") + 1, F.col("all") + 2)
     measured = stash.put(measured.where((known >= threshold) & (F.col("both") >= 0.3 * F.col("n"))))
-    givens = stash.put(measured.where((known >= threshold) & (F.col("both") >= 0.3 * F.col("n")) & ((F.col("partners") >= 3) | (F.col("strong") >= 1) & (F.col("partners") >= 2) | (F.col("strong") >= 2))).select("term"))
-    sided = pairs.where("r <> ''").select("record", "text", "start", "end", "shaped", given.alias("given"), family.alias("family"))
+    givens = stash.put(measured.where((F.col("partners") >= 3) | (F.col("strong") >= 1) & (F.col("partners") >= 2) | (F.col("strong") >= 2)).select("term"))
+    sided = pairs.where("r <> ''").select("record", "digest", "start", "end", "shaped", given.alias("given"), family.alias("family"))
     named = stash.put(sided.join(givens.withColumnRenamed("term", "given"), "given", "left_semi"))
     beside = named.groupBy(F.col("family").alias("term")).agg(F.count("*").alias("both")).join(counts, "term", "left")
     families = beside.where(F.col("both") >= 0.5 * F.coalesce("n", "both")).join(givens, "term", "left_anti").select(F.col("term").alias("family"))
     families = stash.put(families)
-    people = named.join(families, "family", "left_semi").select("record", "text", F.lit("person_name").alias("kind"), "start", "end")
+    people = named.join(families, "family", "left_semi").select("record", "digest", F.lit("person_name").alias("kind"), "start", "end")
 
     # a rare given name has no partners to count: its pair counts by the words around, or by a family name known already
     rare = measured.join(givens, "term", "left_anti").select(F.col("term").alias("given"), "both", "cue")
-    given_of, family_of = F.when(F.col("e.comma"), F.col("e.r")).otherwise(F.col("e.l")), F.when(F.col("e.comma"), F.col("e.l")).otherwise(F.col("e.r"))
     pairs_of = couples.select(F.col("term").alias("given"), F.col("partner").alias("family"), F.col("n").alias("pair"), F.col("cue").alias("pair_cue")).join(rare, "given")
     beside = couples.groupBy(F.col("partner").alias("family")).agg(F.sum("n").alias("beside")).join(counts.select(F.col("term").alias("family"), F.col("n").alias("alone")), "family", "left")
     likely = beside.where(F.col("beside") >= 0.5 * F.coalesce("alone", "beside")).select("family")
     told = pairs_of.where((F.col("pair_cue") > 0) & (F.col("cue") >= 0.5 * F.col("both"))).join(likely, "family", "left_semi").select("given", "family")
     kin = families.unionByName(told.select("family")).distinct()
     shared = pairs_of.join(kin, "family", "left_semi").select("given", "family")
-    known_pairs = stash.put(told.unionByName(shared).distinct())
-    # texts are long and have many pairs: their digests go through the join
-    digest = F.sha2("text", 256).alias("digest")
-    light = scanned.select("record", digest, F.explode("pairs").alias("e")).select("record", "digest", "e.start", "e.end", "e.r", given_of.alias("given"), family_of.alias("family"))
-    met = stash.put(light.where("r <> ''").join(known_pairs, ["given", "family"], "left_semi").select("record", "digest", "start", "end"))
-    others = met.join(rows.select("record", "text", digest), ["record", "digest"]).select("record", "text", F.lit("person_name").alias("kind"), "start", "end")
+    titled = couples.where("titled > 0").select(F.col("term").alias("given"), F.col("partner").alias("family"))
+    known_pairs = stash.put(told.unionByName(shared).unionByName(titled).distinct())
+    others = sided.join(known_pairs, ["given", "family"], "left_semi").select("record", "digest", F.lit("person_name").alias("kind"), "start", "end")
     return rows, settled.unionByName(items).unionByName(people).unionByName(others)
 
 
@@ -318,9 +362,9 @@ def redact(df: DataFrame, record: str, text: str, threshold: float = THRESHOLD)
     Text outside the items is left as it was; a text without items comes out unchanged, an empty or
     null text as it is.  Overlapping items of one place give the placeholder of the first.
     """
-    rows, items = find_personal(df, record, text, threshold)
+    _, items = search(df, record, text, threshold)
     every = df.select(F.col(record).cast("string").alias("record"), F.col(text).cast("string").alias("text")).where("record IS NOT NULL").distinct()
-    spans = items.groupBy("record", F.sha2("text", 256).alias("digest")).agg(F.array_sort(F.collect_set(F.struct("start", "end", "kind"))).alias("spans"))
+    spans = items.groupBy("record", "digest").agg(F.array_sort(F.collect_set(F.struct("start", "end", "kind"))).alias("spans"))
 
     @F.pandas_udf("string")
     def replace(texts: pd.Series, found: pd.Series) -> pd.Series:

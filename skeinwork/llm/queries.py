@@ -66,7 +66,7 @@ def p3_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, items = personal_info.find_personal(_read(spark, sf_dir, "comment_nodes"), "comment_id", "comment_text")
+    _, items = personal_info.search(_read(spark, sf_dir, "comment_nodes"), "comment_id", "comment_text")
     return items.select(F.col("record").alias("comment_id"), "kind").distinct()
 
 

@@ -44,6 +44,27 @@ def test_rare_names(spark):
     assert {k for f in found for k, _ in f} == {"person_name"}
 
 
+def test_titled_names_stand_alone(spark):
+    """Names seen once or twice in a table of a few rows; a title settles a pair wherever it stands."""
+    texts = ["saw Mr. Harold Finkelstein today", "so Harold Finkelstein again", "Mrs. Odette Marlowe waved", "call (702) 555-0131", "mail kim@example.org", "passport number ZX2909968", "plain words"]
+    df = spark.createDataFrame([(str(i), t) for i, t in enumerate(texts)], "id string, text string")
+    got = {(r["record"], r["kind"], r["text"][r["start"] : r["end"]]) for r in personal_info.find_personal(df, "id", "text")[1].collect()}
+    names = {(i, t) for i, k, t in got if k == "person_name"}
+    assert names == {("0", "Mr. Harold Finkelstein"), ("1", "Harold Finkelstein"), ("2", "Mrs. Odette Marlowe")}
+    assert {(i, k) for i, k, _ in got if k != "person_name"} == {("3", "phone"), ("4", "email"), ("5", "id_number")}
+
+
+def test_numbers_past_linking_words(spark):
+    assert find(spark, ["mine is 901-40-6834", "it's 901-40-6835 ok", "locker combo is 901-40-6836"]) == [{("id_number", "901-40-6834")}, {("id_number", "901-40-6835")}, set()]
+
+
+def test_many_items_in_one_text(spark):
+    text = " ".join(f"a{i}@post.example, call 702-555-{i:04d};" for i in range(2000))
+    df = spark.createDataFrame([("1", text)], "id string, text string")
+    kinds = personal_info.find_personal(df, "id", "text")[1].groupBy("kind").count().collect()
+    assert {r["kind"]: r["count"] for r in kinds} == {"email": 2000, "phone": 2000}
+
+
 def test_redaction_leaves_the_rest(spark):
     rows = CONTEXT + [("a", "hey 😀 call (702) 555-0131, or kim@example.org!"), ("b", None), ("c", ""), ("d", "plain  text\n"), ("a", "second version"), ("d", "plain  text\n"), (None, "x@y.org"), ("e", "long " * 40_000 + "x@y.org")]
     df = spark.createDataFrame([(*r, "clash", 1) for r in rows], "id string, text string, kind string, start int")
