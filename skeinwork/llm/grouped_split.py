@@ -8,9 +8,10 @@ Method: hash-to-min components over the keys records share, then weighted rendez
   its cluster to the smallest member and the smallest member to the rest, until nothing changes.
   Clusters are kept as rows (node, member), never gathered into an array.
 * Weighted rendezvous hashing gives each component, by a hash of its id and each split's name, to the
-  split with the best score.  Components above ``1 / BIG`` of all records (fewer than ``BIG`` of
-  them, whatever the data) are placed first, largest first, where most is missing; the weights for
-  the rest are then set so that the shares of records come out as asked.
+  split with the best score, among the splits whose share of records can hold it (or the largest, if
+  none can).  The weights are set so that the shares come out as asked.  What a hash cannot reach, as
+  components have sizes of their own, is mended by moving at most ``REPAIR`` components, those whose
+  best score is least ahead of their second.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 
 from skeinwork.storage import Stash
 
-BIG = 1000
+REPAIR = 1000
 ROUNDS = 12
 
 
@@ -53,45 +54,72 @@ def _score(component: Column, split: str, weight: float, seed: int) -> Column:
     return F.lit(float(weight)) / -F.log(u)
 
 
-def rendezvous(component: Column, weights: dict[str, float], seed: int) -> Column:
-    """The split of a component under these weights; ties go to the name that sorts first."""
-    names = sorted(name for name, w in weights.items() if w > 0)
-    best = F.greatest(*[_score(component, n, weights[n], seed) for n in names], F.lit(-1.0))
-    return reduce(lambda rest, n: F.when(_score(component, n, weights[n], seed) == best, n).otherwise(rest), reversed(names), F.lit(names[0]))
+def scores(component: Column, size: Column, weights: dict[str, float], room: dict[str, float], seed: int) -> dict[str, Column]:
+    """Score of each split; negative where the split cannot hold ``size`` records and another could."""
+    widest = max(sorted(room), key=lambda n: room[n])
+    return {n: F.when((size <= room[n]) | F.lit(n == widest), _score(component, n, w, seed)).otherwise(F.lit(-1.0)) for n, w in sorted(weights.items())}
+
+
+def rendezvous(scored: dict[str, Column]) -> Column:
+    """The split with the best score; ties go to the name that sorts first."""
+    best = F.greatest(*scored.values(), F.lit(-2.0))
+    return reduce(lambda rest, n: F.when(scored[n] == best, n).otherwise(rest), reversed(list(scored)), F.lit(next(iter(scored))))
+
+
+def _moves(candidates: list, error: dict[str, float]) -> dict:
+    """Moves of candidates (component, size, split, in order of preference) while they lower the total error."""
+    moved, error, rest = {}, dict(error), list(candidates)
+    while rest:
+        best, at, to = 0.0, None, None
+        for i, row in enumerate(rest):
+            if error[row["split"]] <= 0:
+                continue
+            for n, e in error.items():
+                if e < 0:
+                    gain = error[row["split"]] - e - abs(error[row["split"]] - row["size"]) - abs(e + row["size"])
+                    if gain > best + 1e-9:
+                        best, at, to = gain, i, n
+        if at is None:
+            break
+        row = rest.pop(at)
+        moved[row["component"]] = to
+        error[row["split"]] -= row["size"]
+        error[to] += row["size"]
+    return moved
 
 
 def split_components(sizes: DataFrame, shares: dict[str, float], seed: int = 0) -> DataFrame:
     """``component, split`` for components with their ``size``; shares refer to the sum of sizes."""
-    total = sizes.agg(F.sum("size")).first()[0] or 0
-    whole = sum(shares.values())
-    target = {name: total * share / whole for name, share in shares.items()}
-    limit = total / BIG
-    big = sizes.where(F.col("size") > limit).select("component", "size").collect()  # fewer than BIG rows
-    missing, placed = dict(target), {}
-    order = sorted(big, key=lambda r: (-r["size"], str(r["component"])))
-    for row in order:
-        # where it overshoots least; among those it fits into, where most is missing
-        name = max(sorted(shares), key=lambda n: (min(0.0, missing[n] - row["size"]), missing[n]))
-        placed[row["component"]] = name
-        missing[name] -= row["size"]
-    rest = sizes.where(F.col("size") <= limit)
-    need = {name: max(0.0, m) for name, m in missing.items()}
-    weights = {name: n / (sum(need.values()) or 1) for name, n in need.items()}
-    if sum(need.values()) and any(weights.values()):
-        for _ in range(ROUNDS):
-            got = {r["split"]: r["size"] for r in rest.groupBy(rendezvous(F.col("component"), weights, seed).alias("split")).agg(F.sum("size").alias("size")).collect()}
-            if not got or max(abs(got.get(n, 0) - need[n]) for n in need) <= max(1.0, total * 1e-4):
-                break
-            weights = {n: w * min(2.0, max(0.5, (need[n] + 1) / (got.get(n, 0) + 1))) for n, w in weights.items()}
-    else:
-        weights = dict(shares)
-    chosen = rendezvous(F.col("component"), weights, seed)
-    if placed:
-        spark = sizes.sparkSession
-        kind = sizes.schema["component"].dataType.simpleString()
-        table = spark.createDataFrame([(c, n) for c, n in placed.items()], f"component {kind}, fixed string")
-        return sizes.join(F.broadcast(table), "component", "left").select("component", F.coalesce("fixed", chosen).alias("split"))
-    return sizes.select("component", chosen.alias("split"))
+    shares = {n: w for n, w in sorted(shares.items()) if w > 0}
+    total, whole = sizes.agg(F.sum("size")).first()[0] or 0, sum(shares.values())
+    target = {n: total * w / whole for n, w in shares.items()}
+    close = max(1.0, total * 1e-4)
+    weights, best = {n: w / whole for n, w in shares.items()}, None
+    for _ in range(ROUNDS if total else 0):
+        split = rendezvous(scores(F.col("component"), F.col("size"), weights, target, seed))
+        got = {r["split"]: r["size"] for r in sizes.groupBy(split.alias("split")).agg(F.sum("size").alias("size")).collect()}  # a row for each split
+        error = {n: got.get(n, 0) - target[n] for n in target}
+        if best is None or sum(map(abs, error.values())) < sum(map(abs, best[1].values())):
+            best = weights, error
+        if max(map(abs, error.values())) <= close:
+            break
+        weights = {n: w * min(2.0, max(0.5, (target[n] + 1) / (got.get(n, 0) + 1))) for n, w in weights.items()}
+    if best is None:
+        return sizes.select("component", F.lit(None).cast("string").alias("split")).where("false")
+    weights, error = best
+    scored = scores(F.col("component"), F.col("size"), weights, target, seed)
+    chosen = sizes.select("component", "size", rendezvous(scored).alias("split"), F.array_sort(F.array(*scored.values())).alias("s"))
+    if max(map(abs, error.values())) <= close or len(target) < 2:
+        return chosen.select("component", "split")
+    over = [n for n, e in error.items() if e > 0]
+    margin = F.element_at("s", -2) / F.element_at("s", -1)
+    near = chosen.where(F.col("split").isin(over)).orderBy(margin.desc(), "component").select("component", "size", "split").limit(REPAIR).collect()
+    moved = _moves(near, error)
+    if not moved:
+        return chosen.select("component", "split")
+    kind = sizes.schema["component"].dataType.simpleString()
+    table = sizes.sparkSession.createDataFrame(list(moved.items()), f"component {kind}, fixed string")  # at most REPAIR rows
+    return chosen.join(F.broadcast(table), "component", "left").select("component", F.coalesce("fixed", "split").alias("split"))
 
 
 def grouped_split(df: DataFrame, record: str, keys: list[str], shares: dict[str, float] | None = None, seed: int = 0) -> DataFrame:

@@ -7,7 +7,8 @@ Method
        of all documents is no single task.
     2. The mix has as many blocks as the scarcest source allows.  For each output shard the counts of
        the sources are drawn from a multinomial over what is still to be placed, so the drawn counts
-       sum up to the target shares exactly.
+       sum up to the target shares exactly.  The draws come in two levels: the driver draws for groups
+       of shards, of bounded number, and the tasks draw for the shards of each group.
     3. The n-th slot of a source takes block ``permutation(n mod blocks)`` of its pass ``n div blocks``;
        each pass has its own pseudorandom permutation of the indexes, so a block, and with it every
        document, is used once a pass and at most ``max_repeats`` times.
@@ -16,16 +17,19 @@ Method
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from skeinwork.llm.encoding import encode
-from skeinwork.storage import Stash
+from skeinwork.storage import Stash, spread
 
 BLOCK = 512
-MAX_SHARDS = 4096
+#: Groups of shards, and numbers (groups times sources), that the driver draws at most.
+GROUPS, DRAWN = 4096, 200_000
 SHARD_BLOCKS = 256
 MAX_SOURCES = 10_000
 BUCKET_DOCS = 20_000
@@ -78,15 +82,12 @@ def quotas(weights: dict[str, float], blocks: dict[str, int], repeats: dict[str,
 
 
 def draw_shards(quota: dict[str, int], shard_blocks: int, seed: int) -> list[tuple[int, str, int, int]]:
-    """(shard, source, first slot, slots): multinomial draws over what is left, at most MAX_SHARDS shards."""
+    """(shard, source, first slot, slots): multinomial draws over what is left, shard by shard."""
     names = sorted(quota)
     left = np.array([quota[n] for n in names], dtype=np.int64)
-    total = int(left.sum())
-    shards = min(MAX_SHARDS, max(1, -(-total // shard_blocks)))
-    size = -(-total // shards) if total else 0
     rng, done, out = np.random.default_rng(seed), np.zeros(len(names), dtype=np.int64), []
-    for shard in range(shards):
-        want = min(size, int(left.sum()))
+    for shard in range(-(-int(left.sum()) // shard_blocks)):
+        want = min(shard_blocks, int(left.sum()))
         counts = np.zeros(len(names), dtype=np.int64)
         while want:
             drawn = np.minimum(rng.multinomial(want, left / left.sum()), left)
@@ -96,6 +97,28 @@ def draw_shards(quota: dict[str, int], shard_blocks: int, seed: int) -> list[tup
     return out
 
 
+def draw_groups(quota: dict[str, int], shard_blocks: int, seed: int) -> list[tuple[int, int, list[str], list[int], list[int]]]:
+    """(group, its first shard, sources, first slots, slots): whole numbers of shards, so many that DRAWN holds."""
+    shards = -(-sum(quota.values()) // shard_blocks)
+    width = -(-shards // max(1, min(GROUPS, DRAWN // max(1, len(quota))))) or 1
+    groups: dict[int, list[tuple[str, int, int]]] = {}
+    for group, name, first, n in draw_shards(quota, width * shard_blocks, seed):
+        groups.setdefault(group, []).append((name, first, n))
+    return [(g, g * width, [n for n, _, _ in rows], [f for _, f, _ in rows], [c for _, _, c in rows]) for g, rows in groups.items()]
+
+
+def _draw_within(shard_blocks: int, seed: int, blocks: dict[str, int]):
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for group, shard, names, firsts, counts in frame.itertuples(index=False):
+                start = dict(zip(names, (int(f) for f in firsts)))
+                drawn = draw_shards(dict(zip(names, (int(c) for c in counts))), shard_blocks, seed * 1_000_003 + group + 1)
+                for at in range(0, len(drawn), 10_000):
+                    yield pd.DataFrame([(shard + s, n, start[n] + first, c, blocks[n]) for s, n, first, c in drawn[at : at + 10_000]], columns=["shard", "source", "first", "n", "blocks"])
+
+    return run
+
+
 def permuted(index: np.ndarray, size: np.ndarray, key: np.ndarray) -> np.ndarray:
     """A pseudorandom permutation of range(size) for each key: four Feistel rounds with cycle walking."""
     half = np.maximum(1, (np.ceil(np.log2(np.maximum(size, 2))).astype(np.int64) + 1) // 2).astype(np.uint64)
@@ -145,8 +168,10 @@ def mix(
     blocks = {r["source"]: r["n"] for r in packed.groupBy("source").agg(F.count("*").alias("n")).collect()}
     quota = quotas(weights, blocks, repeats, total_blocks)
 
-    plan = spark.createDataFrame([(*row, blocks[row[1]]) for row in draw_shards(quota, shard_blocks, seed)] if quota else [], "shard int, source string, first bigint, n bigint, blocks bigint")
-    slots = plan.repartition("shard").select("shard", "source", "blocks", F.explode(F.sequence("first", F.col("first") + F.col("n") - 1)).alias("at"))
+    groups = spark.createDataFrame(draw_groups(quota, shard_blocks, seed), "grp int, shard bigint, names array<string>, firsts array<bigint>, counts array<bigint>")
+    plan = spread(spark, groups, "grp").mapInPandas(_draw_within(shard_blocks, seed, {s: blocks[s] for s in quota}), "shard bigint, source string, first bigint, n bigint, blocks bigint")
+    # at most shard_blocks slots a row
+    slots = plan.select("shard", "source", "blocks", F.explode(F.sequence("first", F.col("first") + F.col("n") - 1)).alias("at"))
 
     @F.pandas_udf("bigint")
     def place(index: pd.Series, size: pd.Series, key: pd.Series) -> pd.Series:
@@ -156,7 +181,7 @@ def mix(
     key = F.xxhash64("source", use, F.lit(seed))
     slots = slots.select("shard", "source", "at", (use + 1).cast("int").alias("use"), place(F.col("at") % F.col("blocks"), "blocks", key).alias("block"))
     order = Window.partitionBy("shard").orderBy(F.xxhash64("source", "at", F.lit(seed)), "source", "at")
-    slots = slots.select("shard", (F.row_number().over(order) - 1).alias("slot"), "source", "block", "use")
+    slots = stash.put(slots.select("shard", (F.row_number().over(order) - 1).alias("slot"), "source", "block", "use"))
     mixture = slots.join(packed, ["source", "block"]).select("shard", "slot", "source", "block", "use", F.size("ids").alias("n_tokens"), "doc_ids", "ids")
 
     have = tokens.groupBy("source").agg(F.count("*").alias("documents"), F.sum(F.size("ids")).alias("available_tokens"))

@@ -73,7 +73,7 @@ def classes(df: DataFrame, record: str, elements: Column, stash: Stash) -> tuple
     """
     each = df.where(F.col(record).isNotNull()).select(F.col(record).cast("string").alias("record"), F.array_sort(F.array_compact(F.array_distinct(elements))).alias("els"))
     united = each.where(F.size("els") > 0).groupBy("record").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("els")))).alias("els"))
-    united = stash.put(united.select("record", "els", F.sha2(F.concat_ws("\x1f", "els"), 256).alias("cls")))
+    united = stash.put(united.select("record", "els", F.sha2(F.to_json("els"), 256).alias("cls")))
     kinds = united.groupBy("cls").agg(F.first("els").alias("els"))
     return stash.put(kinds.select("cls", F.size("els").alias("size"), "els")), united.select("record", "cls")
 
@@ -121,16 +121,16 @@ def similar_pairs(df: DataFrame, record: str, elements: Column, num: int = 7, de
 
 
 def links_per_record(df: DataFrame, record: str, elements: Column, num: int = 7, den: int = 10) -> DataFrame:
-    """``record, cls, copies, links``: each record with its class of equal sets, the records of that
-    class, and how many records with another set it is similar to.  Copies are not expanded."""
+    """``record, representative, copies, links``: each record with the least record of its class of equal
+    sets, the records of that class, and how many records with another set it is similar to.  Copies are not expanded."""
     stash = Stash(df.sparkSession, "setjoin")
     kinds, members = classes(df, record, elements, stash)
     linked = stash.put(similar_classes(kinds, stash, num, den))
-    copies = members.groupBy("cls").agg(F.count("*").alias("copies"))
+    copies = members.groupBy("cls").agg(F.min("record").alias("representative"), F.count("*").alias("copies"))
     both = linked.select(F.col("a").alias("cls"), F.col("b").alias("other")).unionByName(linked.select(F.col("b").alias("cls"), F.col("a").alias("other")))
     links = both.join(copies.select(F.col("cls").alias("other"), "copies"), "other").groupBy("cls").agg(F.sum("copies").alias("links"))
-    facts = copies.join(links, "cls", "left").select("cls", "copies", F.coalesce("links", F.lit(0)).cast("bigint").alias("links"))
-    return members.join(facts, "cls").select("record", "cls", "copies", "links")
+    facts = copies.join(links, "cls", "left").select("cls", "representative", "copies", F.coalesce("links", F.lit(0)).cast("bigint").alias("links"))
+    return members.join(facts, "cls").select("record", "representative", "copies", "links")
 
 
 def similar_between(left: DataFrame, right: DataFrame, record: str, elements: Column, num: int = 7, den: int = 10) -> DataFrame:

@@ -9,11 +9,13 @@ in another record.  All windows of all texts take part; the work is cut down wit
 2. *Count-min prefilter.*  Each partition counts its anchors in a sketch of ``DEPTH`` rows whose
    counters stop at two; the sketches are merged slice by slice on the executors.  A count-min
    sketch never underestimates, so an anchor estimated at one record has no equal elsewhere, and its
-   windows cannot be shared.  The sketch has a fixed largest size (``MAX_BITS``), whatever the input;
-   where it is too small for the corpus it passes more, and the result stays the same.
-3. *Exact second pass.*  Runs whose anchor may be repeated are grouped by their whole text, so copies
-   collapse on the map side, and the windows of the distinct runs are grouped by 128-bit hashes; a
-   window with more than one record is shared.  A group keeps the least and greatest record only.
+   windows cannot be shared.  The sketch grows with the corpus up to ``MAX_BITS``, what a task may
+   hold in memory.  Anchors that pass are grouped by their hashes, in eight bytes each, and those of
+   one record drop out: beyond the largest sketch this second filter does what a larger one would.
+3. *Exact second pass.*  The runs of the anchors left are hashed window by window.  Runs are grouped
+   by their whole text, so copies collapse on the map side, and the windows of the distinct runs are
+   grouped by 128-bit hashes; a window with more than one record is shared.  A group keeps the least
+   and greatest record only.
 4. *Coverage.*  Shared windows return to their runs as bit masks and are united for each record.
 """
 
@@ -97,30 +99,63 @@ def _positions(anchors: np.ndarray, depth: int, bits: int) -> np.ndarray:
     return (_mix(anchors, 0xABCD + depth) >> np.uint64(64 - bits)).astype(np.int64)
 
 
-def _anchor_batches(batches: Iterator[pa.RecordBatch], span: int, gram: int):
-    for batch in batches:
-        keys = batch.column("key")
-        for i, text in enumerate(batch.column("text").to_pylist()):
-            if text is not None and len(text) >= span:
-                yield keys[i].as_py(), text
+RUNS = "starts array<bigint>, sizes array<int>, anchors array<bigint>"
 
 
-def anchor_sketch(rows: DataFrame, span: int, gram: int, bits: int) -> DataFrame:
-    """Merged sketch as rows (depth, slice, once, twice): packed bits of 'seen' and 'seen again'."""
+def _anchors_of(span: int, gram: int):
+    """Texts to their runs, by chunks: columns key and tid, and the starts, sizes and anchors."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[list] = [[], [], [], []]
+
+            def made() -> pa.RecordBatch:
+                at, starts, sizes, anchors = out
+                offsets = pa.array(np.concatenate([[0], np.cumsum([len(x) for x in starts])]), pa.int32())
+                lists = [pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(x).astype(t, copy=False))) for x, t in ((starts, np.int64), (sizes, np.int32))]
+                lists.append(pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(anchors).view(np.int64))))
+                picked = batch.select(["key", "tid"]).take(pa.array(at))
+                for x in out:
+                    x.clear()
+                return pa.RecordBatch.from_arrays([*picked.columns, *lists], ["key", "tid", "starts", "sizes", "anchors"])
+
+            for i, text in enumerate(batch.column("text").to_pylist()):
+                for starts, sizes, anchors, _ in runs_of(text, span, gram):
+                    for x, v in zip(out, (i, starts, sizes, anchors)):
+                        x.append(v)
+                if len(out[0]) >= 1000:
+                    yield made()
+            if out[0]:
+                yield made()
+
+    return run
+
+
+def _flat(batch: pa.RecordBatch, name: str) -> tuple[np.ndarray, np.ndarray]:
+    """(values, lengths) of a list column."""
+    lists = batch.column(name)
+    offsets = np.asarray(lists.offsets)
+    return np.asarray(lists.values)[offsets[0] : offsets[-1]], np.diff(offsets)
+
+
+def anchor_sketch(runs: DataFrame, bits: int) -> DataFrame:
+    """Merged sketch as rows (depth, slice, twice): packed bits of 'seen again'."""
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros((DEPTH, 1 << bits), dtype=np.uint8)
         filled = False
-        for _, text in _anchor_batches(batches, span, gram):
-            anchors = np.unique(np.concatenate([a for _, _, a, _ in runs_of(text, span, gram)]))
-            filled = True
+        for batch in batches:
+            anchors, lengths = _flat(batch, "anchors")
+            filled = filled or len(anchors) > 0
+            owner = np.repeat(np.arange(len(lengths)), lengths)
+            # an anchor counts once for each text
+            order = np.lexsort((anchors, owner))
+            a, o = anchors[order], owner[order]
+            first = np.concatenate([[True], (a[1:] != a[:-1]) | (o[1:] != o[:-1])]) if len(a) else np.empty(0, dtype=bool)
+            once = a[first].view(np.uint64)
             for d in range(DEPTH):
-                p = _positions(anchors, d, bits)
-                counts[d, p] = np.minimum(counts[d, p] + 1, 2)
-                _, number = np.unique(p, return_counts=True)
-                if len(number) < len(p):
-                    values, number = np.unique(p, return_counts=True)
-                    counts[d, values[number > 1]] = 2
+                values, number = np.unique(_positions(once, d, bits), return_counts=True)
+                counts[d, values] = np.minimum(counts[d, values] + np.minimum(number, 2), 2)
         if filled:
             step = min(SLICE, 1 << bits)
             for d in range(DEPTH):
@@ -141,8 +176,8 @@ def anchor_sketch(rows: DataFrame, span: int, gram: int, bits: int) -> DataFrame
             yield pa.RecordBatch.from_pydict({"depth": pa.array([d], pa.int32()), "slice": pa.array([s], pa.int32()), "twice": [zlib.compress(twice.tobytes(), 1)]})
 
     # one sketch a task: their number follows the cores, not the data
-    tasks = 4 * rows.sparkSession.sparkContext.defaultParallelism
-    parts = rows.coalesce(tasks).mapInArrow(local, "depth int, slice int, once binary, twice binary")
+    tasks = 4 * runs.sparkSession.sparkContext.defaultParallelism
+    parts = runs.select("anchors").coalesce(tasks).mapInArrow(local, "depth int, slice int, once binary, twice binary")
     return parts.repartition("depth", "slice").mapInArrow(merge, "depth int, slice int, twice binary")
 
 
@@ -162,18 +197,39 @@ def shared_chars(df: DataFrame, record: str, text: str, span: int = 100, gram: i
     key_type = df.schema[record].dataType.simpleString()
     stash = Stash(spark, "spans")
     rows = df.select(F.col(record).alias("key"), F.col(text).cast("string").alias("text")).where(F.col("key").isNotNull() & (F.char_length("text") >= span))
-    rows = stash.put(spread(spark, rows, "key"))
-    chars = rows.agg(F.sum(F.char_length("text").cast("bigint"))).first()[0] or 0
-    bits = int(min(MAX_BITS, max(MIN_BITS, np.ceil(np.log2(max(1, chars) * 2.0 / (span - gram + 2) * 8)))))
-    sketch = [(r["depth"], r["slice"], bytes(r["twice"])) for r in anchor_sketch(rows, span, gram, bits).toLocalIterator()]  # at most DEPTH * 2^MAX_BITS bits
+    rows = stash.put(spread(spark, rows, "key").withColumn("tid", F.xxhash64("text")))
+    anchored = stash.put(rows.mapInArrow(_anchors_of(span, gram), f"key {key_type}, tid bigint, {RUNS}"))
+    anchors = anchored.agg(F.sum(F.size("anchors").cast("bigint"))).first()[0] or 0
+    bits = int(min(MAX_BITS, max(MIN_BITS, np.ceil(np.log2(max(1, anchors) * 8.0)))))
+    sketch = [(r["depth"], r["slice"], bytes(r["twice"])) for r in anchor_sketch(anchored, bits).toLocalIterator()]  # at most DEPTH * 2^MAX_BITS bits
     shipped = spark.sparkContext.broadcast((bits, sketch))
 
-    def repeated_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def estimated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The runs whose anchor the sketch has seen again."""
         bits, slices = shipped.value
         twice = np.zeros((DEPTH, (1 << bits) // 8), dtype=np.uint8)
         step = min(SLICE, 1 << bits) // 8
         for d, s, packed in slices:
             twice[d, s * step : (s + 1) * step] = np.frombuffer(zlib.decompress(packed), np.uint8)
+        for batch in batches:
+            found, lengths = _flat(batch, "anchors")
+            keep = np.ones(len(found), dtype=bool)
+            for d in range(DEPTH):
+                p = _positions(found.view(np.uint64), d, bits)
+                keep &= (twice[d, p >> 3] >> (7 - (p & 7)).astype(np.uint8)) & 1 == 1
+            if keep.any():
+                owner = pa.array(np.repeat(np.arange(len(lengths)), lengths)[keep])
+                picked = batch.select(["key", "tid"]).take(owner)
+                yield pa.RecordBatch.from_arrays(
+                    [*picked.columns, pa.array(_flat(batch, "starts")[0][keep]), pa.array(_flat(batch, "sizes")[0][keep]), pa.array(found[keep])], ["key", "tid", "start", "size", "anchor"]
+                )
+
+    passed = stash.put(anchored.mapInArrow(estimated, f"key {key_type}, tid bigint, start bigint, size int, anchor bigint"))
+    again = passed.groupBy("anchor").agg(F.min("key").alias("low"), F.max("key").alias("high")).where("low < high").select("anchor")
+    left = passed.join(again, "anchor", "left_semi").groupBy("key", "tid").agg(F.collect_list(F.struct("start", "size")).alias("runs"))  # bounded by one text
+    wanted = rows.join(left, ["key", "tid"]).select("key", "text", "runs.start", "runs.size")
+
+    def hashed_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[list] = [[] for _ in range(5)]
         held = 0
 
@@ -195,36 +251,34 @@ def shared_chars(df: DataFrame, record: str, text: str, span: int = 100, gram: i
                 x.clear()
             return made
 
-        for key, text_ in _anchor_batches(batches, span, gram):
-            for starts, sizes, anchors, part in runs_of(text_, span, gram):
-                keep = np.ones(len(anchors), dtype=bool)
-                for d in range(DEPTH):
-                    p = _positions(anchors, d, bits)
-                    keep &= (twice[d, p >> 3] >> (7 - (p & 7)).astype(np.uint8)) & 1 == 1
-                if not keep.any():
-                    continue
-                first, second = window_hashes(part, span, 0), window_hashes(part, span, 1)
-                base = starts[0]
-                for start, size in zip(starts[keep], sizes[keep]):
-                    a = start - base
-                    h1, h2 = first[a : a + size], second[a : a + size]
-                    out[0].append(key)
-                    out[1].append(int(start))
-                    # the first and last window hashes with the size stand for the run's whole text
-                    out[2].append(h1[:1].tobytes() + h2[:1].tobytes() + h1[-1:].tobytes() + h2[-1:].tobytes() + int(size).to_bytes(2, "little"))
-                    out[3].append(h1)
-                    out[4].append(h2)
-                    held += size
-                    if held > 200_000:
-                        held = 0
-                        yield batch_of()
+        for batch in batches:
+            for key, text_, starts, sizes in zip(batch.column("key").to_pylist(), batch.column("text").to_pylist(), batch.column("start").to_pylist(), batch.column("size").to_pylist()):
+                codes = np.frombuffer(text_.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+                starts, sizes = np.array(starts, dtype=np.int64), np.array(sizes, dtype=np.int64)
+                for at in np.unique(starts // CHUNK) * CHUNK:
+                    part = codes[at : at + CHUNK + span - 1]
+                    first, second = window_hashes(part, span, 0), window_hashes(part, span, 1)
+                    here = (starts >= at) & (starts < at + CHUNK)
+                    for start, size in zip(starts[here], sizes[here]):
+                        a = start - at
+                        h1, h2 = first[a : a + size], second[a : a + size]
+                        out[0].append(key)
+                        out[1].append(int(start))
+                        # the first and last window hashes with the size stand for the run's whole text
+                        out[2].append(h1[:1].tobytes() + h2[:1].tobytes() + h1[-1:].tobytes() + h2[-1:].tobytes() + int(size).to_bytes(2, "little"))
+                        out[3].append(h1)
+                        out[4].append(h2)
+                        held += size
+                        if held > 200_000:
+                            held = 0
+                            yield batch_of()
         if out[0]:
             yield batch_of()
 
     from pyspark.sql.pandas.types import to_arrow_type
 
     key_arrow = to_arrow_type(df.schema[record].dataType)
-    runs = stash.put(rows.mapInArrow(repeated_runs, f"key {key_type}, start bigint, run binary, h1 array<bigint>, h2 array<bigint>"))
+    runs = stash.put(wanted.mapInArrow(hashed_runs, f"key {key_type}, start bigint, run binary, h1 array<bigint>, h2 array<bigint>"))
     kinds = stash.put(runs.groupBy("run").agg(F.min("key").alias("low"), F.max("key").alias("high"), F.min(F.struct("h1", "h2")).alias("h")))
     windows = kinds.select("run", "low", "high", F.posexplode(F.arrays_zip(F.col("h.h1").alias("h1"), F.col("h.h2").alias("h2"))).alias("i", "w"))
     windows = windows.select("run", "low", "high", "i", F.col("w.h1").alias("h1"), F.col("w.h2").alias("h2"))

@@ -34,12 +34,13 @@ def test_against_brute_force(spark, span):
     assert run(spark, rows, span) == brute(rows, span)
 
 
-def test_long_spans(spark):
+@pytest.mark.parametrize("span", [128, 200, 250, 300])
+def test_long_spans(spark, span):
     rng = random.Random(9)
     draw = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n))
     common = [draw(n) for n in (300, 420, 650, 1100)]
     rows = [(i, draw(rng.randint(0, 90)) + rng.choice(common)[rng.randint(0, 60) :] + draw(rng.randint(0, 90))) for i in range(24)]
-    assert run(spark, rows, 300) == brute(rows, 300)
+    assert run(spark, rows, span) == brute(rows, span)
 
 
 def test_edges(spark):
