@@ -37,8 +37,8 @@ def count_matches(text: Column, pattern: str) -> Column:
 
 
 def upper_ratio(text: Column) -> Column:
-    """ASCII capitals over all characters; 0 for empty text."""
-    return F.coalesce(F.regexp_count(text, F.lit("[A-Z]")) / F.nullif(F.char_length(text), F.lit(0)), F.lit(0.0))
+    """Capitals over all characters; 0 for empty text."""
+    return F.coalesce(F.regexp_count(text, F.lit(r"\p{Lu}")) / F.nullif(F.char_length(text), F.lit(0)), F.lit(0.0))
 
 
 def special_count(text: Column) -> Column:
@@ -47,7 +47,7 @@ def special_count(text: Column) -> Column:
 
 def squeeze_repeats(text: Column) -> Column:
     """Lower case, single blanks, and at most two equal characters in a row."""
-    return F.regexp_replace(F.regexp_replace(F.trim(F.lower(text)), r"\s+", " "), r"(.)\1{2,}", "$1$1")
+    return F.regexp_replace(F.regexp_replace(F.trim(F.lower(text)), r"\s+", " "), r"(?d)(.)\1{2,}", "$1$1")
 
 
 def strip_tags(text: Column) -> Column:
@@ -144,7 +144,7 @@ def is_negative(share: Column, hits: Column, upper: Column, marks: Column) -> Co
 
 
 # Weight of each category of aggressive words.
-CATEGORY_WEIGHTS = {"insults": 0.8, "threats": 1.0, "profanity": 0.6, "mockery": 0.5}
+CATEGORY_WEIGHTS = {"insults": 0.8, "threats": 1.0, "profanity": 0.6, "discrimination": 0.9, "mockery": 0.5}
 
 
 def words_present(text: Column, words: list[str]) -> Column:
@@ -156,18 +156,45 @@ def plain_lower(text: Column) -> Column:
     return F.regexp_replace(F.trim(F.lower(text)), r"\s+", " ")
 
 
+def repeats(text: Column) -> Column:
+    """Runs of three and more equal characters of a line."""
+    return F.regexp_count(text, F.lit(r"(?d)(.)\1{2,}"))
+
+
 def rule_aggression(text: Column, low: Column) -> Column:
-    """Weighted word hits, raised by negations, intensifiers, capitals and marks, damped for long texts,
-    through 1 / (1 + exp(2 - x)); 0 for blank text.  ``low`` is the column of :func:`plain_lower`."""
+    """Weighted word hits, raised by negations, intensifiers, capitals, marks and repeated characters, damped
+    for long texts, through 1 / (1 + exp(2 - x)); 0 for blank text.  ``low`` is the column of
+    :func:`squeeze_repeats`."""
     n = F.size(F.split(low, " "))
     hits = reduce(lambda a, b: a + b, [category_hits(low, w) * CATEGORY_WEIGHTS[c] for c, w in L.AGGRESSION.items()])
     marks, questions = count_matches(text, "!"), count_matches(text, r"\?")
-    raised = hits * (1 + 0.2 * words_present(low, L.NEGATIONS)) * (1 + 0.3 * words_present(low, list(L.INTENSIFIERS)))
-    raised = raised * F.when(upper_ratio(text) > 0.3, 1.2).otherwise(1.0) * (1 + 0.1 * marks) * F.when(questions > 1, 1 + 0.05 * questions).otherwise(1.0)
+    raised = hits * (1 + 0.2 * words_present(low, L.RULE_NEGATIONS)) * (1 + 0.3 * words_present(low, L.RULE_INTENSIFIERS))
+    raised = raised * F.when(upper_ratio(text) > 0.3, 1.2).otherwise(1.0) * (1 + 0.1 * marks) * F.when(questions > 1, 1 + 0.05 * questions).otherwise(1.0) * (1 + 0.1 * repeats(text))
     damped = raised * F.when(n > 20, 20.0 / n).otherwise(1.0)
     return F.when(low == "", 0.0).otherwise(1 / (1 + F.exp(2 - damped)))
 
 
+def present_aggression(text: Column, low: Column) -> Column:
+    """Aggression by listed words that are present: 0.3 a word and 0.2 a category, each at most 1, marks and
+    capitals, and repeated characters at most 0.3; at most 1 in all.  ``low`` is the lower-case text."""
+    found = [words_present(low, w) for w in L.PRESENT.values()]
+    words = reduce(lambda a, b: a + b, found)
+    categories = reduce(lambda a, b: a + b, [(n > 0).cast("int") for n in found])
+    capped = lambda x, top=1.0: F.least(x, F.lit(top))
+    grammar = capped(0.1 * count_matches(text, "!") + 0.5 * upper_ratio(text))
+    return capped(capped(0.3 * words) + capped(0.2 * categories) + grammar + capped(0.1 * repeats(low), 0.3))
+
+
+def polarity_aggression(negative: Column, positive: Column) -> Column:
+    """(negative - positive + 1) / 2 of a classifier's class shares, within [0, 1]."""
+    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), (negative - positive + 1) / 2))
+
+
+def blended_aggression(model: Column | None, rule: Column) -> Column:
+    """0.7 of a model's score and 0.3 of the rule's; the rule's alone without a model, or where it has none."""
+    return rule if model is None else F.coalesce(0.7 * model + 0.3 * rule, rule)
+
+
 # Fixed values.
 THREAT_PATTERNS = ["(kill|die|death|hurt|harm).*you", "you.*should.*(die|kill)", "go.*kill.*yourself", "i.*will.*(kill|hurt|destroy)"]
 
@@ -175,16 +202,16 @@ THREAT_PATTERNS = ["(kill|die|death|hurt|harm).*you", "you.*should.*(die|kill)",
 def rule_toxicity(low: Column) -> Column:
     """min(1, 0.4 toxic words present + 0.6 threat patterns found) of lower-case text."""
     threats = reduce(lambda a, b: a + b, [low.rlike(p).cast("int") for p in THREAT_PATTERNS])
-    return F.least(F.lit(1.0), 0.4 * words_present(low, L.AGGRESSION["profanity"] + L.AGGRESSION["threats"]) + 0.6 * threats)
+    return F.least(F.lit(1.0), 0.4 * words_present(low, L.PRESENT["profanity"] + L.PRESENT["threats"] + L.PRESENT["discrimination"]) + 0.6 * threats)
 
 
 def grammar_features(text: Column) -> dict[str, Column]:
     """Intensities of capitals, marks and repeats for the length, and whether sentences are very short."""
     size = F.nullif(F.char_length(text), F.lit(0))
-    per = lambda n, k: F.coalesce(F.least(F.lit(1.0), n / size * k), F.lit(0.0))
+    per = lambda n, k: F.when(size > 0, F.least(F.lit(1.0), n / size * k)).otherwise(0.0)
     sentences = F.filter(F.split(text, r"[.!?]+"), lambda s: F.trim(F.regexp_replace(s, r"\s+", " ")) != "")
     words = F.aggregate(sentences, F.lit(0), lambda a, s: a + F.size(F.split(F.trim(F.regexp_replace(s, r"\s+", " ")), " ")))
     return {
         "uppercase": F.least(F.lit(1.0), upper_ratio(text) * 3), "exclamation": per(count_matches(text, "!"), 50), "question": per(count_matches(text, r"\?"), 50),
-        "repetition": per(count_matches(text, r"(.)\1{2,}"), 20), "short_sentences": F.when(words / F.nullif(F.size(sentences), F.lit(0)) < 3, 0.3).otherwise(0.0),
+        "repetition": per(repeats(text), 20), "short_sentences": F.when(words / F.nullif(F.size(sentences), F.lit(0)) < 3, 0.3).otherwise(0.0),
     }

@@ -12,12 +12,13 @@ from skeinwork.functions import text as X
 from skeinwork.functions import vectors as V
 from skeinwork.operators import cluster, hetero, prepare, users
 from skeinwork.plans.subgraph_queries import _FEATURES, _STRUCTURE, _VERDICT, _feature_rows, subgraph_structure
-from skeinwork.plans.text_queries import _category
-from skeinwork.plans.views import NODES, VIDEOS, nodes, read, subgraphs
+from skeinwork.plans import oracle_words as O
+from skeinwork.plans.text_queries import _RULE
+from skeinwork.plans.views import NODES, VIDEOS, nodes, quoted, read, subgraphs
 
 
 def rule_aggression(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = nodes(spark, sf_dir).where("comment_text IS NOT NULL").select("id", "comment_text", X.plain_lower(F.col("comment_text")).alias("low"))
+    n = nodes(spark, sf_dir).where("comment_text IS NOT NULL").select("id", "comment_text", X.squeeze_repeats(F.col("comment_text")).alias("low"))
     return n.select("id", F.round(X.rule_aggression(F.col("comment_text"), F.col("low")), 6).alias("score"))
 
 
@@ -122,18 +123,10 @@ QUERIES = {
     )
 }
 
-_HITS = " + ".join(f"({_category(w)}) * {X.CATEGORY_WEIGHTS[c]}" for c, w in L.AGGRESSION.items())
-
-
-def _present(words: list[str]) -> str:
-    return "(" + " + ".join(f"contains(t, '{w}')::INT" for w in words) + ")"
-
-
 _HALF = f"""h AS (SELECT user_id, hour(ts) AS h, ts, id FROM n WHERE ts IS NOT NULL AND user_id IS NOT NULL),
 c AS (SELECT user_id, CASE WHEN h < 6 THEN 'night' WHEN h < 12 THEN 'morning' WHEN h < 18 THEN 'afternoon' ELSE 'evening' END AS period, count(*) AS n, min(struct_pack(a := ts, b := id)) AS f FROM h GROUP BY 1, 2),
 ut AS (SELECT user_id, period, n FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY n DESC, f) AS rn FROM c) WHERE rn = 1 AND n >= 2)"""
-_LOW = rf"WITH {NODES}, q AS (SELECT id, comment_text AS o, regexp_replace(trim(lower(comment_text)), '\s+', ' ', 'g') AS t FROM n WHERE comment_text IS NOT NULL)"
-_UPPER = "(CASE WHEN length(o) > 0 THEN length(regexp_replace(o, '[^A-Z]', '', 'g')) / length(o) ELSE 0 END)"
+_UPPER = r"(CASE WHEN length(o) > 0 THEN length(regexp_replace(o, '[^\p{Lu}]', '', 'g')) / length(o) ELSE 0 END)"
 _WEIGHTED = _FEATURES + """,
 wf AS (SELECT fp.bin, subgraph_id, i, v, CASE WHEN label = 1 THEN 1.5 ELSE 1.0 END AS w FROM fp),
 wc AS (SELECT bin, i, sum(w * v) / sum(w) AS m FROM wf GROUP BY 1, 2),
@@ -142,15 +135,13 @@ wq AS (SELECT bin, count(*) AS size, round(least(1.0, 1 / (1 + sum(w * d) / sum(
 wr AS (SELECT bin, subgraph_id AS representative FROM (SELECT *, row_number() OVER (PARTITION BY bin ORDER BY round(d / w, 9), subgraph_id) AS rn FROM wd) WHERE rn = 1)"""
 
 SQL = {
-    "rule_aggression": _LOW + f""", r AS (SELECT id, o, t, len(string_split(t, ' ')) AS n, ({_HITS}) * (1 + 0.2 * {_present(L.NEGATIONS)}) * (1 + 0.3 * {_present(list(L.INTENSIFIERS))})
-  * (CASE WHEN {_UPPER} > 0.3 THEN 1.2 ELSE 1.0 END) * (1 + 0.1 * length(regexp_replace(o, '[^!]', '', 'g'))) * (CASE WHEN length(regexp_replace(o, '[^?]', '', 'g')) > 1 THEN 1 + 0.05 * length(regexp_replace(o, '[^?]', '', 'g')) ELSE 1.0 END) AS s FROM q)
-SELECT id, round(CASE WHEN t = '' THEN 0 ELSE 1 / (1 + exp(2 - s * (CASE WHEN n > 20 THEN 20.0 / n ELSE 1.0 END))) END, 6) AS score FROM r""",
-    "rule_toxicity": f"WITH {NODES}, q AS (SELECT id, lower(regexp_replace(comment_text, '\\s+', ' ', 'g')) AS t FROM n WHERE comment_text IS NOT NULL) SELECT id, round(least(1.0, 0.4 * {_present(L.AGGRESSION['profanity'] + L.AGGRESSION['threats'])} + 0.6 * ("
-    + " + ".join(f"regexp_matches(t, '{p}')::INT" for p in X.THREAT_PATTERNS) + "))::DOUBLE, 6) AS score FROM q",
+    "rule_aggression": f"WITH {NODES}, {_RULE} SELECT id, round(rule, 6) AS score FROM ru",
+    "rule_toxicity": f"WITH {NODES}, q AS (SELECT id, lower(regexp_replace(comment_text, '\\s+', ' ', 'g')) AS t FROM n WHERE comment_text IS NOT NULL) SELECT id, round(least(1.0, 0.4 * ({O.present(O.PRESENT_PROFANITY)} + {O.present(O.PRESENT_THREATS)} + {O.present(O.PRESENT_DISCRIMINATION)}) + 0.6 * {O.THREAT_PATTERNS})::DOUBLE, 6) AS score FROM q",
+    "repeat_intensity": f"WITH {NODES}, q AS (SELECT id, comment_text AS o FROM n WHERE comment_text <> ''), {O.runs('q', 'o')} SELECT id, least(1.0, repeats / length(o) * 20)::DOUBLE AS repetition FROM q JOIN sq USING (id) WHERE repeats > 0",
     "grammar_intensity": rf"""WITH {NODES}, q AS (SELECT id, comment_text AS o FROM n WHERE comment_text IS NOT NULL),
 p AS (SELECT *, list_filter(list_transform(regexp_split_to_array(o, '[.!?]+'), lambda x: trim(regexp_replace(x, '\s+', ' ', 'g'))), lambda x: x <> '') AS ss FROM q)
-SELECT id, round(least(1.0, {_UPPER} * 3), 6) AS uppercase, round(coalesce(least(1.0, length(regexp_replace(o, '[^!]', '', 'g')) / nullif(length(o), 0) * 50), 0), 6) AS exclamation,
-  round(coalesce(least(1.0, length(regexp_replace(o, '[^?]', '', 'g')) / nullif(length(o), 0) * 50), 0), 6) AS question,
+SELECT id, round(least(1.0, {_UPPER} * 3), 6) AS uppercase, round(CASE WHEN length(o) > 0 THEN least(1.0, length(regexp_replace(o, '[^!]', '', 'g')) / length(o) * 50) ELSE 0 END::DOUBLE, 6) AS exclamation,
+  round(CASE WHEN length(o) > 0 THEN least(1.0, length(regexp_replace(o, '[^?]', '', 'g')) / length(o) * 50) ELSE 0 END::DOUBLE, 6) AS question,
   CASE WHEN len(ss) > 0 AND list_sum(list_transform(ss, lambda x: len(string_split(x, ' ')))) / len(ss) < 3 THEN 0.3 ELSE 0.0 END::DOUBLE AS short_sentences FROM p""",
     "embedding_scores": """WITH u AS (SELECT vec_id, unnest(embedding)::DOUBLE AS v FROM embeddings), m AS (SELECT vec_id, avg(v) AS m, avg(abs(v)) AS a, sqrt(sum(v * v)) AS l FROM u GROUP BY 1),
 k AS (SELECT u.vec_id, avg((v - m) * (v - m)) AS s, avg((v - m) * (v - m) * (v - m)) AS t FROM u JOIN m USING (vec_id) GROUP BY 1)
@@ -162,7 +153,7 @@ SELECT user_id, CASE WHEN c > 10 THEN 'social' WHEN l > 50 THEN 'home' ELSE 'unk
     "video_mood_edges": f"WITH {VIDEOS}, t AS (SELECT url, lower(concat_ws(' ', column1, column2)) AS t FROM v), m AS (" + " UNION ALL ".join(f"SELECT url, '{m}' AS mood FROM t WHERE regexp_matches(t, '{p}')" for m, p in _MOODS.items())
     + ") SELECT url, mood FROM m UNION ALL SELECT url, 'neutral' FROM t WHERE url NOT IN (SELECT url FROM m)",
     "video_caption_features": rf"""WITH {VIDEOS}, t AS (SELECT url, like_count, coalesce(length(mediacaption), 0)::INT AS chars, coalesce(len(list_filter(regexp_split_to_array(regexp_replace(lower(mediacaption), '[^a-z0-9_\s]', ' ', 'g'), '\s+'),
-  lambda x: length(x) >= 3 AND NOT list_contains([{', '.join("'" + w + "'" for w in L.STOP_WORDS)}], x))), 0)::INT AS words FROM v)
+  lambda x: length(x) >= 3 AND NOT list_contains([{quoted(L.STOP_WORDS)}], x))), 0)::INT AS words FROM v)
 SELECT url, chars, words, like_count::BIGINT * words AS likes_by_words, round(like_count / (words + 1), 6) AS likes_per_word FROM t""",
     "subgraph_feature_vectors": _STRUCTURE + f""", {_VERDICT}
 SELECT sx.subgraph_id, n_nodes, n_edges, round(density, 6) AS density, """ + ", ".join(f"round(CASE WHEN n_nodes > 0 THEN n_{t} / n_nodes ELSE 0 END, 6) AS {t}_ratio" for t in ("comment", "user", "word", "video")) + """,

@@ -47,4 +47,5 @@ def get_session(app: str = "skeinwork", cores: str | int = "*", **conf) -> Spark
         builder = builder.config(key.replace("__", "."), value)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
+    ship(spark)
     return spark

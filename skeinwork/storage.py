@@ -2,8 +2,8 @@
 
 Iterative operators cut their lineage by writing a stage as Parquet and reading it
 back.  The folder is the one the cluster names in ``spark.checkpoint.dir``; a lost
-executor therefore never takes a stage with it.  Only a plain ``local[...]`` master
-without that setting falls back to a private temporary folder.
+executor therefore never takes a stage with it.  A plain ``local[...]`` master without
+that setting uses a private temporary folder; any other master must name one.
 """
 
 from __future__ import annotations
@@ -32,7 +32,7 @@ def shared_root(spark: SparkSession) -> str:
     if spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         return spark.sparkContext._jsc.sc().getCheckpointDir().get()
     if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-        return f"{_setting(spark, 'spark.sql.warehouse.dir')}/_skeinwork"
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if _local_root is None:
         _local_root = tempfile.mkdtemp(prefix="skeinwork-")
         atexit.register(shutil.rmtree, _local_root, ignore_errors=True)
