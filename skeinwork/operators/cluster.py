@@ -7,20 +7,29 @@ import itertools
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from skeinwork.functions.vectors import distance, dot
+from skeinwork.functions.vectors import distance, dot, scale, scaling
 from skeinwork.operators.components import star_components
 from skeinwork.storage import Stash
 
+#: Cells of a line that one task puts in order.
+CHUNK = 4096
+#: Clusters whose centres may be sent to all tasks.
+MAX_CENTRES = 10_000
+
 
 def dbscan(df: DataFrame, key: str, columns: list[str], eps: float, least: int, by: str | None = None) -> DataFrame:
     """``key, cluster``: DBSCAN; the cluster is the least key of its core points, null for noise.
 
     With ``by``, rows cluster within equal values of that column only.  Equal points become one weighted
-    point first, so copies cost nothing.  Points are put into grid cells of eps / sqrt(d): points of one
-    cell are neighbours without looking at pairs.  Only points of different cells within reach are
-    compared, and core cells are linked as cells.  A border point joins the reachable cluster of least
-    core key.  Rows with a null coordinate are noise.
+    point first, so copies cost nothing.  Points are put into fine cells of eps / sqrt(d): points of one
+    cell are neighbours without looking at pairs.  Points of different fine cells are compared where
+    their coarse cells, of eps in the (at most three) columns that spread most, touch: 27 cells at most,
+    whatever the number of columns.  Core cells are linked as cells.  A border point joins the reachable
+    cluster of least core key.  Rows with a null coordinate are noise.  One column goes by
+    :func:`dbscan_line` instead.
     """
+    if len(columns) == 1:
+        return dbscan_line(df, key, columns[0], eps, least, by)
     stash = Stash(df.sparkSession, "dbscan")
     d = len(columns)
     side = eps / (d**0.5)
@@ -31,13 +40,14 @@ def dbscan(df: DataFrame, key: str, columns: list[str], eps: float, least: int,
     points = rows.where(full).groupBy("g", "x").agg(F.count("*").alias("n"), F.min("k").alias("k"))
     points = stash.put(points.select("k", "g", "x", "n", F.struct("g", F.transform("x", lambda v: F.floor(v / side)).alias("c")).alias("cell")))
     cells = points.groupBy("cell").agg(F.sum("n").alias("weight"))
-    reach = int(d**0.5) + 1
-    steps = [list(o) for o in itertools.product(range(-reach, reach + 1), repeat=d) if any(o)]
-    shifts = F.array(*[F.array(*[F.lit(v).cast("bigint") for v in o]) for o in steps])
-    near = points.select("k", "x", "cell", F.explode(shifts).alias("o"))
-    near = near.select("k", "x", "cell", F.struct(F.col("cell.g").alias("g"), F.zip_with("cell.c", "o", lambda a, b: a + b).alias("c")).alias("other"))
-    a, b = near.alias("a"), points.alias("b")
-    close = a.join(b, (F.col("a.other") == F.col("b.cell")) & (distance(F.col("a.x"), F.col("b.x")) <= eps))
+    spread = points.agg(*[F.stddev_pop(F.col("x")[i]).alias(str(i)) for i in range(d)]).first()
+    used = sorted(sorted(range(d), key=lambda i: -(spread[i] or 0.0))[:3])
+    coarse = lambda of: F.concat_ws(",", "g", *[(F.floor(F.col("x")[i] / eps) + of[n]).cast("string") for n, i in enumerate(used)])
+    steps = list(itertools.product((-1, 0, 1), repeat=len(used)))
+    here = points.select("k", "x", "n", "cell", coarse([0] * len(used)).alias("at"))
+    near = points.select("k", "x", "cell", F.explode(F.array(*[coarse(o) for o in steps])).alias("at"))
+    a, b = near.alias("a"), here.alias("b")
+    close = a.join(b, (F.col("a.at") == F.col("b.at")) & (F.col("a.cell") != F.col("b.cell")) & (distance(F.col("a.x"), F.col("b.x")) <= eps))
     pairs = stash.put(close.select(F.col("a.k").alias("k"), F.col("a.cell").alias("cell"), F.col("b.k").alias("q"), F.col("b.cell").alias("qcell"), F.col("b.n").alias("n")))
     around = pairs.groupBy("k").agg(F.sum("n").alias("around"))
     core = points.join(cells, "cell").join(around, "k", "left").where(F.col("weight") + F.coalesce("around", F.lit(0)) >= least).select("k", "cell")
@@ -56,6 +66,67 @@ def dbscan(df: DataFrame, key: str, columns: list[str], eps: float, least: int,
     return rows.join(at, ["g", "x"], "left").select(F.col("k").alias(key), "cluster")
 
 
+def dbscan_line(df: DataFrame, key: str, column: str, eps: float, least: int, by: str | None = None) -> DataFrame:
+    """DBSCAN of one column, as :func:`dbscan`, by islands instead of pairs.
+
+    Values are cut into cells of width eps, so the core points of a cell are neighbours.  A cell sees its
+    two neighbours; counts and nearest core points are window functions within it.  Cells form islands
+    where the gap between their core points is at most eps; cells are numbered in two levels, ``CHUNK``
+    cells and chunks, so no task orders all of them.  Four shuffles, and no rounds.
+    """
+    stash = Stash(df.sparkSession, "line")
+    group = F.coalesce(F.col(by).cast("string"), F.lit("")) if by else F.lit("")
+    rows = df.select(F.col(key).alias("k"), group.alias("g"), F.col(column).cast("double").alias("v"))
+    points = rows.where("v IS NOT NULL AND NOT isnan(v)").groupBy("g", "v").agg(F.count("*").alias("n"), F.min("k").alias("k"))
+    points = points.withColumn("cell", F.floor(F.col("v") / eps))
+    halo = F.explode(F.array(*[(F.col("cell") + i).alias("seat") for i in (-1, 0, 1)])).alias("seat")
+    around = F.expr(f"sum(n) OVER (PARTITION BY g, seat ORDER BY v RANGE BETWEEN {eps!r}D PRECEDING AND {eps!r}D FOLLOWING)")
+    counted = points.select("g", "v", "n", "k", "cell", halo).withColumn("around", around).where("seat = cell")
+    known = stash.put(counted.select("g", "v", "k", "cell", (F.col("around") >= least).alias("core")))
+    cells = known.where("core").groupBy("g", "cell").agg(F.min("v").alias("low"), F.max("v").alias("high"), F.min("k").alias("head")).withColumn("chunk", F.floor(F.col("cell") / CHUNK))
+    chunks = Window.partitionBy("g").orderBy("chunk")
+    ends = cells.groupBy("g", "chunk").agg(F.max("high").alias("end")).select("g", "chunk", F.lag("end").over(chunks).alias("before"))
+    within = Window.partitionBy("g", "chunk").orderBy("cell")
+    gap = F.col("low") - F.coalesce(F.lag("high").over(within), "before")
+    marked = cells.join(ends, ["g", "chunk"]).withColumn("opens", F.coalesce((gap > eps).cast("int"), F.lit(1)))
+    marked = stash.put(marked.withColumn("no", F.sum("opens").over(within)))
+    offset = marked.groupBy("g", "chunk").agg(F.sum("opens").alias("o")).select("g", "chunk", (F.sum("o").over(chunks) - F.col("o")).alias("offset"))
+    islands = marked.join(offset, ["g", "chunk"]).select("g", "cell", "head", (F.col("no") + F.col("offset")).alias("island"))
+    clusters = islands.join(islands.groupBy("g", "island").agg(F.min("head").alias("cluster")), ["g", "island"]).select("g", "cell", "cluster")
+    placed = known.join(clusters, ["g", "cell"], "left").withColumn("c", F.when(F.col("core"), F.struct("v", "cluster")))
+    seen = placed.select("g", "v", "cell", "core", "cluster", "c", halo)
+    seats = Window.partitionBy("g", "seat").orderBy("v")
+    left, right = F.last("c", True).over(seats.rowsBetween(Window.unboundedPreceding, 0)), F.first("c", True).over(seats.rowsBetween(0, Window.unboundedFollowing))
+    seen = seen.select("g", "v", "cell", "seat", "core", "cluster", left.alias("l"), right.alias("r")).where("seat = cell")
+    border = F.least(F.when(F.col("v") - F.col("l.v") <= eps, F.col("l.cluster")), F.when(F.col("r.v") - F.col("v") <= eps, F.col("r.cluster")))
+    at = seen.select("g", "v", F.when(F.col("core"), F.col("cluster")).otherwise(border).alias("cluster"))
+    return rows.join(at, ["g", "v"], "left").select(F.col("k").alias(key), "cluster")
+
+
+def standardised_dbscan(df: DataFrame, key: str, features: str, width: int, eps: float, least: int, by: str | None = None) -> DataFrame:
+    """DBSCAN of an array column whose entries are scaled by mean and population deviation first."""
+    names = [f"_f{i}" for i in range(width)]
+    flat = df.select(key, *([by] if by else []), *[F.col(features)[i].cast("double").alias(n) for i, n in enumerate(names)])
+    return dbscan(scale(flat, names, scaling(flat, names, "zscore")), key, names, eps, least, by)
+
+
+def weighted_dbscan(df: DataFrame, key: str, features: str, width: int, weight: str, eps: float, least: int) -> DataFrame:
+    """DBSCAN of an array column times a weight."""
+    names = [f"_f{i}" for i in range(width)]
+    return dbscan(df.select(key, *[(F.col(features)[i] * F.col(weight)).cast("double").alias(n) for i, n in enumerate(names)]), key, names, eps, least)
+
+
+def refined(df: DataFrame, key: str, cluster: str, columns: list[str], eps: float, least: int, members: int) -> DataFrame:
+    """``key, cluster``: clusters of at least ``members`` rows are clustered again by ``columns``, each within
+    itself; a part has the name ``cluster/least key``.  What a second clustering leaves as noise, and the
+    clusters too small for it, keep their name.  All clusters are refined in one run."""
+    named = df.select(key, F.col(cluster).cast("string").alias("_c"), *columns)
+    large = named.where("_c IS NOT NULL").groupBy("_c").agg(F.count("*").alias("_n")).where(F.col("_n") >= members).select("_c")
+    parts = dbscan(named.join(large, "_c"), key, columns, eps, least, "_c").select(key, F.col("cluster").alias("_part"))
+    part = F.when(F.col("_part").isNotNull(), F.concat_ws("/", "_c", F.col("_part").cast("string"))).otherwise(F.col("_c"))
+    return named.join(parts, key, "left").select(key, part.alias("cluster"))
+
+
 def size_bins(df: DataFrame, size: str, width: int = 2, least: int = 20) -> DataFrame:
     """``bin, members`` of bins of a width that hold at least ``least`` rows."""
     return df.groupBy((F.floor(F.col(size) / width) * width).alias("bin")).agg(F.count("*").alias("members")).where(F.col("members") >= least)
@@ -81,8 +152,9 @@ def quality(members: DataFrame, cluster: str, features: str, label: str, session
     counts = members.groupBy(cluster).agg(F.count("*").alias("size"), F.avg(label).alias("purity"), F.count_distinct(positive).alias("covered"))
     whole = members.agg(F.count_distinct(positive).alias("sessions"))
     centroids = shape.select(cluster, F.col("_c.m").alias("centroid"), "stability")
-    # a row a cluster against every negative row: clusters are few, and checked for size by the planner
-    far = negatives.select(F.col(features).alias("_x")).join(centroids.select(cluster, "centroid"), how="cross").groupBy(cluster).agg(F.avg(distance(F.col("centroid"), F.col("_x"))).alias("discrimination"))
+    if centroids.limit(MAX_CENTRES + 1).count() > MAX_CENTRES:
+        raise ValueError(f"more than {MAX_CENTRES} clusters to compare with all negatives")
+    far = negatives.select(F.col(features).alias("_x")).join(F.broadcast(centroids.select(cluster, "centroid")), how="cross").groupBy(cluster).agg(F.avg(distance(F.col("centroid"), F.col("_x"))).alias("discrimination"))
     out = counts.join(centroids, cluster).join(far, cluster, "left").join(F.broadcast(whole), how="cross")
     return out.select(cluster, "size", "purity", (F.col("covered") / F.greatest("sessions", F.lit(1))).alias("coverage"), "stability", F.coalesce("discrimination", F.lit(0.0)).alias("discrimination"))
 

@@ -32,25 +32,58 @@ def mention_edges(comments: DataFrame, handle: str = r"[A-Za-z0-9_.]*[A-Za-z0-9_
     return named.where("src <> dst").distinct().join(users, ["post_id", "dst"]).select("post_id", "src", "dst")
 
 
-def co_comment_edges(comments: DataFrame, least: int = 2, block: int = 500) -> DataFrame:
-    """``a, b, weight``, a < b: users that commented on the same posts, with the number of such posts.
+def name_mentions(comments: DataFrame, longest: int = 6) -> DataFrame:
+    """``post_id, src, dst`` (user names, lower case): a comment's text contains the name of another user of its post.
+
+    A name is found by its first ``longest`` characters (all of a shorter one): a text is cut into its
+    distinct stretches of the lengths that names of the table have, joined to names by post and stretch,
+    and only the matches are searched for the whole name.  A post with very many comments is spread over
+    tasks by stretches.
+    """
+    c = comments.select("post_id", F.lower("username").alias("src"), F.lower("text").alias("text")).where("src <> '' AND post_id IS NOT NULL")
+    names = c.select("post_id", F.col("src").alias("dst")).distinct().withColumn("head", F.substring("dst", 1, longest))
+    lengths = F.sequence(F.lit(1), F.lit(longest))
+    cuts = F.flatten(F.transform(lengths, lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.char_length("text") - n + 1)), lambda i: F.substring("text", i, n))))
+    texts = c.where("text <> ''").distinct()
+    stretches = texts.select("post_id", "src", "text", F.explode(F.array_distinct(cuts)).alias("head"))
+    found = stretches.join(names, ["post_id", "head"]).where((F.col("src") != F.col("dst")) & F.contains("text", F.col("dst")))
+    return found.select("post_id", "src", "dst").distinct()
 
-    The users of a post are cut into blocks of about ``block`` and each pair of blocks is joined on its
-    own, so the pairs of a post with a tenth of all comments spread over many tasks.  Users of fewer than
-    ``least`` posts cannot reach the weight and are left out before any pair is formed.
+
+def co_comment_edges(comments: DataFrame, least: int = 2, block: int = 500) -> DataFrame:
+    """``a, b, weight``, a < b: users that commented on the same ``least`` (at least two) posts or more, with
+    the number of such posts.
+
+    Posts are ordered by their users.  Two users with two posts in common share one that is the largest
+    of neither, so candidates come from each user's posts but the largest: the pairs of a post with a
+    tenth of all comments, which is the largest of most of its users, are never formed.  The largest
+    posts are then looked up for the candidates alone.  Posts that are left are cut into blocks of about
+    ``block`` users, each pair of blocks joined on its own.
     """
+    if least < 2:
+        raise ValueError("pairs of a single post are its square: ask for two posts at least")
     members = comments.select("post_id", "user_id").where("post_id IS NOT NULL AND user_id IS NOT NULL").distinct()
-    frequent = members.groupBy("user_id").agg(F.count("*").alias("posts")).where(F.col("posts") >= least)
-    members = members.join(frequent.select("user_id"), "user_id", "left_semi")
-    sizes = members.groupBy("post_id").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    placed = members.join(sizes, "post_id").withColumn("own", F.pmod(F.xxhash64("user_id"), F.col("blocks")).cast("int"))
+    crowds = members.groupBy("post_id").agg(F.count("*").alias("users"))
+    order = F.struct("users", "post_id")
+    stash = Stash(comments.sparkSession, "together")
+    largest = members.join(crowds, "post_id").groupBy("user_id").agg(F.count("*").alias("posts"), F.max(order).alias("most")).where(F.col("posts") >= least)
+    members = stash.put(members.join(largest.select("user_id", F.col("most.post_id").alias("most")), "user_id"))
+    others = members.where("post_id <> most").select("post_id", "user_id", "most")
+    sizes = others.groupBy("post_id").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    placed = others.join(sizes, "post_id").withColumn("own", F.pmod(F.xxhash64("user_id"), F.col("blocks")).cast("int"))
     meets = placed.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    meets = meets.select("post_id", "user_id", "own", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"))
+    meets = meets.select("post_id", "user_id", "most", "own", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"))
     l, r = meets.alias("l"), meets.alias("r")
     same = (F.col("l.post_id") == F.col("r.post_id")) & (F.col("l.x") == F.col("r.x")) & (F.col("l.y") == F.col("r.y"))
     across = (F.col("l.x") == F.col("l.y")) | (F.col("l.own") != F.col("r.own"))
     pairs = l.join(r, same & (F.col("l.user_id") < F.col("r.user_id")) & across)
-    return pairs.groupBy(F.col("l.user_id").alias("a"), F.col("r.user_id").alias("b")).agg(F.count("*").alias("weight")).where(F.col("weight") >= least)
+    shared = pairs.groupBy(F.col("l.user_id").alias("a"), F.col("r.user_id").alias("b"), F.col("l.most").alias("most_a"), F.col("r.most").alias("most_b")).agg(F.count("*").alias("n"))
+    at = members.select("post_id", "user_id", F.lit(1).alias("there"))
+    of_a = at.select(F.col("post_id").alias("most_a"), F.col("user_id").alias("b"), F.col("there").alias("in_a"))
+    of_b = at.select(F.col("post_id").alias("most_b"), F.col("user_id").alias("a"), F.col("there").alias("in_b"))
+    both = shared.join(of_a, ["most_a", "b"], "left").join(of_b, ["most_b", "a"], "left")
+    weight = F.col("n") + F.coalesce("in_a", F.lit(0)) + F.when(F.col("most_a") != F.col("most_b"), F.coalesce("in_b", F.lit(0))).otherwise(F.lit(0))
+    return both.select("a", "b", weight.alias("weight")).where(F.col("weight") >= least)
 
 
 def degrees(edges: DataFrame) -> DataFrame:
@@ -93,8 +126,9 @@ def clustering(edges: DataFrame) -> DataFrame:
     return t.select("node", F.when(F.col("d") > 1, 2 * F.col("triangles") / (F.col("d") * (F.col("d") - 1))).otherwise(0.0).alias("clustering"))
 
 
-def pagerank(edges: DataFrame, rounds: int = 20, alpha: float = 0.85) -> DataFrame:
-    """``node, rank`` after a fixed number of rounds over weighted edges ``src, dst, weight``.
+def pagerank(edges: DataFrame, rounds: int = 100, alpha: float = 0.85, tolerance: float | None = 1e-6) -> DataFrame:
+    """``node, rank`` over weighted edges ``src, dst, weight``, when the ranks move by less than ``tolerance``
+    a node on average (looked at every fourth round), or after ``rounds``; with no tolerance, after ``rounds``.
 
     The rank of nodes without successors is spread over all.  Edges are partitioned once, by source; a
     round shuffles one row a node.  Lineage is cut every few rounds.
@@ -108,6 +142,7 @@ def pagerank(edges: DataFrame, rounds: int = 20, alpha: float = 0.85) -> DataFra
     if not n:
         return nodes.select("node", F.lit(0.0).alias("rank"))
     ranks = nodes.select("node", "live", F.lit(1.0 / n).alias("rank"))
+    last = ranks
     for i in range(rounds):
         lost = ranks.where("live IS NULL").agg(F.coalesce(F.sum("rank"), F.lit(0.0)).alias("lost"))
         sent = links.join(ranks.select(F.col("node").alias("src"), "rank"), "src").groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("rank") * F.col("share")).alias("got"))
@@ -115,7 +150,13 @@ def pagerank(edges: DataFrame, rounds: int = 20, alpha: float = 0.85) -> DataFra
             "node", "live", ((1 - alpha) / n + alpha * (F.coalesce("got", F.lit(0.0)) + F.col("lost") / n)).alias("rank")
         )
         if i % 4 == 3 or i == rounds - 1:
-            ranks = stash.put(ranks)
+            before, ranks = last, stash.put(ranks)
+            last = ranks
+            if tolerance is not None and i >= 7:
+                moved = ranks.select("node", "rank").join(before.select("node", F.col("rank").alias("old")), "node").agg(F.sum(F.abs(F.col("rank") - F.col("old")))).first()[0]
+                # four rounds shrink the distance to the limit by alpha^4 at least
+                if moved * alpha**4 / (1 - alpha**4) < n * tolerance:
+                    break
     return ranks.select("node", "rank")
 
 

@@ -27,6 +27,17 @@ def mention_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return network.mention_edges(n)
 
 
+def pagerank_converged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ranks to a tolerance of a millionth a node; tested by brute force."""
+    return network.pagerank(reply_edges(spark, sf_dir)).select("node", F.round("rank", 9).alias("rank"))
+
+
+def name_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Comments that contain the name of another user of the same post, with or without '@'."""
+    n = nodes(spark, sf_dir).select("post_id", F.trim("username").alias("username"), F.col("comment_text").alias("text"))
+    return network.name_mentions(n)
+
+
 def co_comment_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return network.co_comment_edges(nodes(spark, sf_dir))
 
@@ -52,7 +63,7 @@ _ROUNDS = 5
 
 
 def pagerank_fixed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return network.pagerank(reply_edges(spark, sf_dir), _ROUNDS).select("node", F.round("rank", 9).alias("rank"))
+    return network.pagerank(reply_edges(spark, sf_dir), _ROUNDS, tolerance=None).select("node", F.round("rank", 9).alias("rank"))
 
 
 def khop_neighbourhood(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,7 +84,7 @@ def path_centralities(spark: SparkSession, sf_dir: str) -> DataFrame:
 def session_network_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per post: mean and greatest degree and rank over its distinct users."""
     edges = reply_edges(spark, sf_dir)
-    facts = network.degrees(edges).join(network.pagerank(edges, _ROUNDS), "node", "left")
+    facts = network.degrees(edges).join(network.pagerank(edges, _ROUNDS, tolerance=None), "node", "left")
     m = nodes(spark, sf_dir).select("post_id", "user_id").where("user_id IS NOT NULL").distinct().join(facts, F.col("user_id") == F.col("node"), "left").na.fill(0, ["degree", "rank"])
     return m.groupBy("post_id").agg(F.count("*").alias("users"), F.round(F.avg("degree"), 6).alias("mean_degree"), F.max("degree").alias("max_degree"), F.round(F.avg("rank"), 9).alias("mean_rank"), F.round(F.max("rank"), 9).alias("max_rank"))
 
@@ -171,7 +182,7 @@ def graph_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        reply_edges, mention_edges, co_comment_edges, network_degrees, network_shape, triangles, clustering_coefficient, pagerank_fixed, khop_neighbourhood, path_centralities,
+        reply_edges, mention_edges, co_comment_edges, name_mentions, pagerank_converged, network_degrees, network_shape, triangles, clustering_coefficient, pagerank_fixed, khop_neighbourhood, path_centralities,
         session_network_features, hetero_nodes, hetero_node_ids, hetero_edges, hetero_mapped_edges, hetero_fused_users, hetero_mean_users, hetero_zscore, graph_counts,
     )
 }
@@ -227,6 +238,9 @@ _IDS = "ids AS (SELECT type, key, row_number() OVER (PARTITION BY type ORDER BY
 _TIME = "tm AS (SELECT user_id AS key, count(*) FILTER (hour(ts) < 12)::DOUBLE AS t0, count(*) FILTER (hour(ts) >= 12)::DOUBLE AS t1 FROM n WHERE user_id IS NOT NULL AND ts IS NOT NULL GROUP BY user_id)"
 
 SQL = {
+    "name_mentions": f"""WITH {NODES}, c AS (SELECT DISTINCT post_id, lower(trim(username)) AS src, lower(comment_text) AS t FROM n WHERE trim(username) <> '' AND post_id IS NOT NULL),
+u AS (SELECT DISTINCT post_id, src AS dst FROM c)
+SELECT DISTINCT c.post_id, src, dst FROM c JOIN u ON u.post_id = c.post_id AND u.dst <> c.src AND contains(c.t, u.dst)""",
     "reply_edges": f"WITH {_REPLIES} SELECT src, dst, weight FROM e",
     "mention_edges": f"""WITH {NODES}, c AS (SELECT post_id, lower(trim(username)) AS u, lower(comment_text) AS t FROM n WHERE trim(username) <> '' AND post_id IS NOT NULL),
 m AS (SELECT DISTINCT post_id, u AS src, unnest(regexp_extract_all(t, '@([a-z0-9_.]*[a-z0-9_])', 1)) AS dst FROM c)
