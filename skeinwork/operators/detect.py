@@ -59,3 +59,49 @@ def evaluate(rows: DataFrame, key: str, label: str, features: str, kind: str, se
     parts = stash.put(data.join(stratified_split(data, key, label, {"train": 0.7, "test": 0.3}, seed), key))
     model = train(parts.where("split = 'train'"), label, features, kind, seed)
     return parts.select(key, "split", label).join(predict(model, parts, key, features), key)
+
+
+#: Rows of features that fill a partition.
+ROWS = 20_000
+#: Grids of the classifiers that are compared in folds.
+FOREST_GRID = {"numTrees": [50, 100], "maxDepth": [5, 10]}
+LOGISTIC_GRID = {"regParam": [0.1, 0.01, 0.001], "elasticNetParam": [0.0, 1.0]}
+
+
+def evaluate_grid(rows: DataFrame, key: str, label: str, features: str, folds: int = 5, seed: int = 42) -> DataFrame:
+    """``key, model, split, label, predicted, probability`` of a forest and a regression, each with the setting of
+    its grid that has the best F1 of the positive class in ``folds`` folds of a stratified 0.8; the rest takes
+    no part in training or choice."""
+    from pyspark.ml.evaluation import MulticlassClassificationEvaluator
+    from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
+
+    stash = Stash(rows.sparkSession, "grid")
+    data = rows.where(F.col(label).isNotNull())
+    parts = stash.put(data.join(stratified_split(data, key, label, {"train": 0.8, "test": 0.2}, seed), key))
+    taught = parts.where("split = 'train'")
+    counts = {r["label"]: r["n"] for r in taught.groupBy(F.col(label).cast("double").alias("label")).agg(F.count("*").alias("n")).collect()}
+    total = sum(counts.values())
+    weight = F.coalesce(*[F.when(F.col("label") == k, total / (len(counts) * n)) for k, n in counts.items()], F.lit(1.0))
+    # a fold is a pass over the rows: as many partitions as they fill, not as many as made them
+    ready = stash.put(taught.select(array_to_vector(F.col(features)).alias("features"), F.col(label).cast("double").alias("label")).withColumn("weight", weight), int(total // ROWS) + 1)
+    scaler = StandardScaler(inputCol="features", outputCol="scaled", withMean=True)
+    judge = MulticlassClassificationEvaluator(labelCol="label", metricName="fMeasureByLabel", metricLabel=1.0)
+    out = None
+    for kind, grid in (("forest", FOREST_GRID), ("logistic", LOGISTIC_GRID)):
+        classifier = _classifier(kind, 0, seed)
+        options = ParamGridBuilder()
+        for name, values in grid.items():
+            options = options.addGrid(classifier.getParam(name), values)
+        search = CrossValidator(estimator=Pipeline(stages=[scaler, classifier]), estimatorParamMaps=options.build(), evaluator=judge, numFolds=folds, seed=seed, parallelism=4)
+        found = predict(search.fit(ready).bestModel, parts, key, features).withColumn("model", F.lit(kind))
+        out = found if out is None else out.unionByName(found)
+    return parts.select(key, "split", label).join(out, key).select(key, "model", "split", label, "predicted", "probability")
+
+
+def save_model(model: PipelineModel, path: str) -> None:
+    """Write a fitted pipeline; an earlier one there is replaced."""
+    model.write().overwrite().save(path)
+
+
+def load_model(path: str) -> PipelineModel:
+    return PipelineModel.load(path)

@@ -43,9 +43,9 @@ def subgraphs(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     named = F.regexp_extract("subgraph_id", r"(?i)session\D?(\d+)", 1)
     maps = [c for c in columns if c in ("nodes", "edges")]
     rows = read(spark, sf_dir, "subgraph").where("subgraph_id IS NOT NULL").select(
-        "subgraph_id", "extracted_at", F.coalesce(given, F.when(named != "", named).cast("bigint")).alias("session_no"), *[F.map_entries(c).alias(c) if c in maps else F.col(c) for c in columns]
+        "subgraph_id", F.col("extracted_at").alias("_at"), F.coalesce(given, F.when(named != "", named).cast("bigint")).alias("session_no"), *[F.map_entries(c).alias(c) if c in maps else F.col(c) for c in columns]
     )
-    best = rows.groupBy("subgraph_id").agg(F.max(F.struct("extracted_at", "session_no", *columns)).alias("r"))
+    best = rows.groupBy("subgraph_id").agg(F.max(F.struct("_at", "session_no", *columns)).alias("r"))
     return best.select("subgraph_id", "r.session_no", *[F.map_from_entries(f"r.{c}").alias(c) if c in maps else F.col(f"r.{c}") for c in columns])
 
 
