@@ -64,7 +64,7 @@ def evaluate(rows: DataFrame, key: str, label: str, features: str, kind: str, se
 #: Rows of features that fill a partition.
 ROWS = 20_000
 #: Grids of the classifiers that are compared in folds.
-FOREST_GRID = {"numTrees": [50, 100], "maxDepth": [5, 10]}
+FOREST_GRID = {"maxDepth": [5, 10]}
 LOGISTIC_GRID = {"regParam": [0.1, 0.01, 0.001], "elasticNetParam": [0.0, 1.0]}
 
 
