@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import itertools
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,12 +13,54 @@ from skeinwork.functions.vectors import distance, dot, scale, scaling
 from skeinwork.operators.components import star_components
 from skeinwork.storage import Stash
 
+#: Distinct points that are clustered a group in a task.
+LOCAL = 20_000
 #: Cells of a line that one task puts in order.
 CHUNK = 4096
 #: Clusters whose centres may be sent to all tasks.
 MAX_CENTRES = 10_000
 
 
+def _in_memory(eps: float, least: int):
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        x, n, keys = np.stack(frame["x"].to_numpy()), frame["n"].to_numpy(), frame["k"].to_numpy()
+        axis = int(np.argmax(x.std(axis=0)))
+        order = np.argsort(x[:, axis], kind="stable")
+        x, n, keys, line = x[order], n[order], keys[order], x[order, axis]
+        low, high = np.searchsorted(line, line - eps * (1 + 1e-12)), np.searchsorted(line, line + eps * (1 + 1e-12), side="right")
+        starts, ends = [], []
+        for at in range(0, len(x), 256):
+            a, b = low[at], high[min(at + 256, len(x)) - 1]
+            square = np.zeros((min(256, len(x) - at), b - a))
+            for c in range(x.shape[1]):
+                square += (x[at : at + 256, c, None] - x[None, a:b, c]) ** 2
+            i, j = np.nonzero(np.sqrt(square) <= eps)
+            starts.append(i + at), ends.append(j + a)
+        i, j = np.concatenate(starts), np.concatenate(ends)
+        core = np.bincount(i, weights=n[j], minlength=len(x)) >= least
+        rank = np.empty(len(x), dtype=np.int64)
+        rank[np.argsort(keys, kind="stable")] = np.arange(len(x))
+        label = np.where(core, rank, len(x))
+        both = core[i] & core[j]
+        a, b = i[both], j[both]
+        while True:  # least rank among core neighbours, with jumps to the label's own label
+            new = label.copy()
+            np.minimum.at(new, a, label[b])
+            by_rank = np.full(len(x) + 1, len(x))
+            by_rank[rank] = new
+            new = np.where(core, np.minimum(new, by_rank[new]), new)
+            if (new == label).all():
+                break
+            label = new
+        out = label.copy()
+        edge = ~core[i] & core[j]
+        np.minimum.at(out, i[edge], label[j[edge]])
+        names = np.append(np.sort(keys), None) if keys.dtype == object else np.append(np.sort(keys).astype(object), None)
+        return pd.DataFrame({"g": frame["g"].iloc[0], "x": list(x), "cluster": pd.Series(names[out])})
+
+    return run
+
+
 def dbscan(df: DataFrame, key: str, columns: list[str], eps: float, least: int, by: str | None = None) -> DataFrame:
     """``key, cluster``: DBSCAN; the cluster is the least key of its core points, null for noise.
 
@@ -25,7 +69,8 @@ def dbscan(df: DataFrame, key: str, columns: list[str], eps: float, least: int,
     cell are neighbours without looking at pairs.  Points of different fine cells are compared where
     their coarse cells, of eps in the (at most three) columns that spread most, touch: 27 cells at most,
     whatever the number of columns.  Core cells are linked as cells.  A border point joins the reachable
-    cluster of least core key.  Rows with a null coordinate are noise.  One column goes by
+    cluster of least core key.  Up to ``LOCAL`` distinct points, a group is one task that compares each
+    point with those near it in the column that spreads most; the result is the same.  Rows with a null coordinate are noise.  One column goes by
     :func:`dbscan_line` instead.
     """
     if len(columns) == 1:
@@ -35,10 +80,14 @@ def dbscan(df: DataFrame, key: str, columns: list[str], eps: float, least: int,
     side = eps / (d**0.5)
     coords = F.array(*[F.col(c).cast("double") for c in columns])
     group = F.coalesce(F.col(by).cast("string"), F.lit("")) if by else F.lit("")
-    rows = stash.put(df.select(F.col(key).alias("k"), group.alias("g"), coords.alias("x")))
+    rows = df.select(F.col(key).alias("k"), group.alias("g"), coords.alias("x"))
     full = ~F.exists("x", lambda v: v.isNull() | F.isnan(v))
     points = rows.where(full).groupBy("g", "x").agg(F.count("*").alias("n"), F.min("k").alias("k"))
     points = stash.put(points.select("k", "g", "x", "n", F.struct("g", F.transform("x", lambda v: F.floor(v / side)).alias("c")).alias("cell")))
+    if points.count() <= LOCAL:
+        kind = df.schema[key].dataType.simpleString()
+        local = points.select("g", "x", "n", "k").groupBy("g").applyInPandas(_in_memory(eps, least), f"g string, x array<double>, cluster {kind}")
+        return rows.join(local, ["g", "x"], "left").select(F.col("k").alias(key), "cluster")
     cells = points.groupBy("cell").agg(F.sum("n").alias("weight"))
     spread = points.agg(*[F.stddev_pop(F.col("x")[i]).alias(str(i)) for i in range(d)]).first()
     used = sorted(sorted(range(d), key=lambda i: -(spread[i] or 0.0))[:3])

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from skeinwork import storage
-from skeinwork.operators import bundles, cluster, detect, emotion, enumeration, network
+from skeinwork.operators import bundles, cluster, components, detect, emotion, enumeration, network
 
 
 def brute_dbscan(keys, points, eps, least):
@@ -39,8 +39,9 @@ def brute_dbscan(keys, points, eps, least):
     return out
 
 
-@pytest.mark.parametrize("width", [2, 5, 11])
-def test_dbscan_of_many_columns(spark, width):
+@pytest.mark.parametrize("width, local", [(2, 20_000), (2, -1), (5, -1), (11, 20_000), (11, -1)])
+def test_dbscan_of_many_columns(spark, monkeypatch, width, local):
+    monkeypatch.setattr(cluster, "LOCAL", local)
     rng = np.random.default_rng(width)
     centres = rng.random((4, width)) * 3
     points = [tuple((centres[i % 4] + rng.normal(0, 0.12, width)).tolist()) for i in range(70)] + [tuple((rng.random(width) * 3).tolist()) for _ in range(20)]
@@ -68,6 +69,17 @@ def test_dbscan_of_a_line(spark, monkeypatch):
     assert cluster.dbscan(df.where("false"), "id", ["v"], 0.1, 2).count() == 0
 
 
+def test_components_within_a_task_and_by_rounds(spark, monkeypatch):
+    rng = random.Random(8)
+    edges = [(rng.randrange(60), rng.randrange(60)) for _ in range(45)] + [(100 + i, 101 + i) for i in range(30)] + [(7, 7), (200, 200)]
+    df = spark.createDataFrame(edges, "a long, b long")
+    one = {r["node"]: r["component"] for r in components.star_components(df).collect()}
+    monkeypatch.setattr(components, "ONE_TASK", -1)
+    assert {r["node"]: r["component"] for r in components.star_components(df).collect()} == one
+    assert one[130] == 100 and one[200] == 200
+    assert components.star_components(df.where("false")).count() == 0
+
+
 def test_refined_clusters(spark):
     rows = [(i, "x", 1.0 if i < 6 else 9.0) for i in range(12)] + [(100 + i, "y", float(i)) for i in range(3)] + [(200, None, 1.0), (300, "x", 50.0)]
     df = spark.createDataFrame(rows, "id long, cluster string, size double")
