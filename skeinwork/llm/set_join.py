@@ -68,12 +68,12 @@ def _bands(bands: int, rows: int, seed: int):
 def classes(df: DataFrame, record: str, elements: Column, stash: Stash) -> tuple[DataFrame, DataFrame]:
     """(classes: cls, size, els; members: record, cls).
 
-    ``elements`` is an array<string> column.  Rows of one record are united; nulls in the array, null
+    A class is named by 128 bits of a digest of its set.  ``elements`` is an array<string> column.  Rows of one record are united; nulls in the array, null
     arrays and null records are left out, and so are records whose set is empty: they have no pairs.
     """
     each = df.where(F.col(record).isNotNull()).select(F.col(record).cast("string").alias("record"), F.array_sort(F.array_compact(F.array_distinct(elements))).alias("els"))
     united = each.where(F.size("els") > 0).groupBy("record").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("els")))).alias("els"))
-    united = stash.put(united.select("record", "els", F.sha2(F.to_json("els"), 256).alias("cls")))
+    united = stash.put(united.select("record", "els", F.unhex(F.substring(F.sha2(F.to_json("els"), 256), 1, 32)).alias("cls")))
     kinds = united.groupBy("cls").agg(F.first("els").alias("els"))
     return stash.put(kinds.select("cls", F.size("els").alias("size"), "els")), united.select("record", "cls")
 
@@ -83,11 +83,11 @@ def similar_classes(kinds: DataFrame, stash: Stash, num: int, den: int, rows: in
     spark = kinds.sparkSession
     bands = bands_for(num / den, rows)
     hashed = kinds.select("cls", "size", F.transform("els", lambda e: F.xxhash64(e)).alias("hashes"))
-    signed = spread(spark, hashed, "cls").mapInArrow(_bands(bands, rows, seed), "cls string, size int, buckets array<bigint>")
-    placed = stash.put(signed.select(F.xxhash64("cls").alias("h"), "cls", "size", F.explode("buckets").alias("bucket")).select("bucket", "h", "size", "cls"))
+    signed = spread(spark, hashed, "cls").mapInArrow(_bands(bands, rows, seed), "cls binary, size int, buckets array<bigint>")
+    placed = stash.put(signed.select("cls", "size", F.explode("buckets").alias("bucket")))
     crowd = placed.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
     known = placed.join(crowd, "bucket").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
-    own = F.pmod(F.xxhash64("h", F.lit("block")), F.col("blocks")).cast("int")
+    own = F.pmod(F.xxhash64("cls", F.lit("block")), F.col("blocks")).cast("int")
     meets = known.withColumn("own", own).select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     meets = meets.select("bucket", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "cls", "size")
     a, b = meets.alias("a"), meets.alias("b")
