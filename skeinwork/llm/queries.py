@@ -158,11 +158,15 @@ def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p8_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """For each source asked for, whether its share is within a hundredth of the target and its repeats within the limit."""
+    """For each source asked for, whether its tokens are as near to its share of all as whole blocks allow, and its
+    repeats within the limit.  A quota is rounded to a block, and the last block of a source may be short each use."""
     targets = _read(spark, sf_dir, "mix_targets")
     limit = targets.select(mixing.clean_source(F.col("source")).alias("source"), "max_repeats").groupBy("source").agg(F.max("max_repeats").alias("most"))
-    shares = _mix(spark, sf_dir)[1].join(F.broadcast(limit), "source", "left")  # at most MAX_SOURCES rows
-    return shares.select("source", (F.abs(F.col("actual_share") - F.col("target_share")) <= 0.01).alias("near"), (F.col("uses") <= F.coalesce("most", F.lit(0))).alias("within"))
+    shares = _mix(spark, sf_dir)[1]
+    all_of = shares.agg(F.sum("tokens").alias("total"), F.sum("uses").alias("all_uses"))
+    rows = shares.join(F.broadcast(limit), "source", "left").join(F.broadcast(all_of), how="cross")  # at most MAX_SOURCES rows, one row
+    near = F.abs(F.col("tokens") - F.col("target_share") * F.col("total")) <= mixing.BLOCK * (2 + F.col("all_uses"))
+    return rows.select("source", near.alias("near"), (F.col("uses") <= F.coalesce("most", F.lit(0))).alias("within"))
 
 
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
