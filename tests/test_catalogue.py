@@ -30,7 +30,7 @@ def test_query(spark, con, name):
 def test_query_without_sql_runs(spark, name):
     """Content is tested by brute force on small cases (test_operators); here, that it holds on whole tables."""
     rows = entry.catalogue.QUERIES[name](spark, SF).collect()
-    assert rows and len({str(r) for r in rows}) == len(rows)
+    assert len({str(r) for r in rows}) == len(rows)  # the smallest tables may have no seed, and then no row
 
 
 def test_entry(spark):
