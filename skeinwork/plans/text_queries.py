@@ -144,7 +144,7 @@ def rule_presence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Aggression and toxicity by listed words that are present, and 0.6 and 0.4 of them."""
     n = nodes(spark, sf_dir).where("comment_text IS NOT NULL").select("id", "comment_text", F.lower("comment_text").alias("low"))
     n = n.select("id", X.present_aggression(F.col("comment_text"), F.col("low")).alias("a"), X.rule_toxicity(F.col("low")).alias("t"))
-    return n.select("id", F.round("a", 6).alias("aggression"), F.round("t", 6).alias("toxicity"), F.round(0.6 * F.col("a") + 0.4 * F.col("t"), 5).alias("emotion"))
+    return n.select("id", F.round("a", 6).alias("aggression"), F.round("t", 6).alias("toxicity"), F.round(0.6 * F.col("a") + 0.4 * F.col("t"), 9).alias("emotion"))
 
 
 def relaxed_negative_comments(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -254,7 +254,7 @@ SELECT p.id, CASE WHEN p.o IS NULL THEN NULL ELSE coalesce(sq.s, '') END AS text
 f AS (SELECT q.id, {O.present(O.PRESENT_INSULTS)} AS a, {O.present(O.PRESENT_THREATS)} AS b, {O.present(O.PRESENT_PROFANITY)} AS c, {O.present(O.PRESENT_DISCRIMINATION)} AS d, {O.present(O.PRESENT_MOCKERY)} AS e,
   least(1.0, 0.1 * length(regexp_replace(o, '[^!]', '', 'g')) + 0.5 * {_UPPER}) AS g, least(0.3, 0.1 * coalesce(repeats, 0)) AS r, {O.THREAT_PATTERNS} AS th FROM q LEFT JOIN sq USING (id)),
 s AS (SELECT id, least(1.0, least(1.0, 0.3 * (a + b + c + d + e)) + least(1.0, 0.2 * ((a > 0)::INT + (b > 0)::INT + (c > 0)::INT + (d > 0)::INT + (e > 0)::INT)) + g + r)::DOUBLE AS aggression, least(1.0, 0.4 * (b + c + d) + 0.6 * th)::DOUBLE AS toxicity FROM f)
-SELECT id, round(aggression, 6) AS aggression, round(toxicity, 6) AS toxicity, round(0.6 * aggression + 0.4 * toxicity, 5) AS emotion FROM s""",
+SELECT id, round(aggression, 6) AS aggression, round(toxicity, 6) AS toxicity, round(0.6 * aggression + 0.4 * toxicity, 9) AS emotion FROM s""",
     "relaxed_negative_comments": _MEASURED + " SELECT id, post_id FROM ms WHERE hits > 0 OR upper > 0.5 OR share > 0.05",
     "aggressive_comments": _MEASURED + " SELECT id, round(2 * share + (hits > 0)::INT + 0.5 * upper, 6) AS aggressiveness FROM ms WHERE hits > 0 OR share > 0.01 OR (length(comment_text) > 50 AND n_words > 8) OR length(comment_text) > 80",
     "clean_usernames": """WITH u AS (SELECT userId, trim(regexp_replace(username, '<[^>]+>', '', 'g')) AS username FROM comments WHERE userId IS NOT NULL)
