@@ -11,8 +11,8 @@ from skeinwork.operators import hetero, matching, prepare, search
 from skeinwork.operators import subgraphs as S
 from skeinwork.operators.enumeration import drawn
 from skeinwork.operators.sampling import stratified_split
-from skeinwork.plans.enumeration_queries import _SESSIONS, _drawn, _pick, _sessions, _sources, _targets
-from skeinwork.plans.prototype_queries import _CM, _COMMENT_FEATURES, _FULL, _PROFILES, _PV, _comments, _compared, _cosine, _similar
+from skeinwork.plans.enumeration_queries import _SESSIONS, _drawn, _sessions, _sources, _targets
+from skeinwork.plans.prototype_queries import _CM, _FULL, _PROFILES, _PV, _comments, _compared, _cosine, _similar
 from skeinwork.plans.session_queries import _SHARES
 from skeinwork.plans.subgraph_queries import _MATCHES, _matches, _members
 from skeinwork.plans.text_queries import _MEASURED, _measured
@@ -203,7 +203,7 @@ def session_profile_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     j = total.join(g, "session_no")
     names = ["best", "mean", "deviation", "above_half", "above_most", "mean_nodes", "mean_edges", "edges_a_node", "deviation_nodes", "mean_score", "deviation_score", "negative", "very_negative"]
-    return j.select("session_no", (-F.col("top.p")).alias("preferred"), "subgraphs", "least_nodes", "most_nodes", *[F.round(c, 5).alias(c) for c in names])
+    return j.select("session_no", (-F.col("top.p")).alias("preferred"), "subgraphs", "least_nodes", "most_nodes", *[F.round(c, 9).alias(c) for c in names])
 
 
 QUERIES = {
@@ -267,5 +267,5 @@ sq0 AS (SELECT session_no, prototype AS preferred FROM (SELECT *, row_number() O
 sb AS (SELECT sx.session_no, count(*) AS subgraphs, avg(n_nodes) AS mean_nodes, avg(n_edges) AS mean_edges, sum(n_edges) / nullif(sum(n_nodes), 0) AS edges_a_node, min(n_nodes) AS least_nodes, max(n_nodes) AS most_nodes, stddev_pop(n_nodes) AS deviation_nodes,
   coalesce(avg(nullif(emotion_score, 0)), CASE WHEN avg(n_comment) > 3 THEN -0.3 ELSE -0.1 END) AS mean_score, coalesce(stddev_pop(nullif(emotion_score, 0)), 0.1) AS deviation_score, coalesce(avg((nullif(emotion_score, 0) < 0)::INT), CASE WHEN avg(n_comment) > 3 THEN 0.7 ELSE 0.3 END) AS negative,
   coalesce(avg((nullif(emotion_score, 0) < -0.5)::INT), CASE WHEN avg(n_comment) > 5 THEN 0.2 ELSE 0 END) AS very_negative FROM sx JOIN s USING (subgraph_id) WHERE sx.session_no IS NOT NULL GROUP BY 1)
-SELECT sa.session_no, preferred, subgraphs, least_nodes, most_nodes, """ + ", ".join(f"round({c}, 5) AS {c}" for c in ["best", "mean", "deviation", "above_half", "above_most", "mean_nodes", "mean_edges", "edges_a_node", "deviation_nodes", "mean_score", "deviation_score", "negative", "very_negative"]) + " FROM sa JOIN sb USING (session_no) JOIN sq0 USING (session_no)",
+SELECT sa.session_no, preferred, subgraphs, least_nodes, most_nodes, """ + ", ".join(f"round({c}, 9) AS {c}" for c in ["best", "mean", "deviation", "above_half", "above_most", "mean_nodes", "mean_edges", "edges_a_node", "deviation_nodes", "mean_score", "deviation_score", "negative", "very_negative"]) + " FROM sa JOIN sb USING (session_no) JOIN sq0 USING (session_no)",
 }
