@@ -168,8 +168,10 @@ def weighted_dbscan(df: DataFrame, key: str, features: str, width: int, weight:
 def refined(df: DataFrame, key: str, cluster: str, columns: list[str], eps: float, least: int, members: int) -> DataFrame:
     """``key, cluster``: clusters of at least ``members`` rows are clustered again by ``columns``, each within
     itself; a part has the name ``cluster/least key``.  What a second clustering leaves as noise, and the
-    clusters too small for it, keep their name.  All clusters are refined in one run."""
-    named = df.select(key, F.col(cluster).cast("string").alias("_c"), *columns)
+    clusters too small for it, keep their name.  All clusters are refined in one run.  The rows are written
+    once: they are read four times, and a refinement of a refinement would carry the plan 16 times."""
+    stash = Stash(df.sparkSession, "refined")
+    named = stash.put(df.select(key, F.col(cluster).cast("string").alias("_c"), *columns))
     large = named.where("_c IS NOT NULL").groupBy("_c").agg(F.count("*").alias("_n")).where(F.col("_n") >= members).select("_c")
     parts = dbscan(named.join(large, "_c"), key, columns, eps, least, "_c").select(key, F.col("cluster").alias("_part"))
     part = F.when(F.col("_part").isNotNull(), F.concat_ws("/", "_c", F.col("_part").cast("string"))).otherwise(F.col("_c"))
