@@ -4,10 +4,12 @@ import itertools
 import random
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from skeinwork.operators import cluster, components, detect, hetero, matching, network, prepare, sampling, search, subgraphs, users
+from skeinwork.storage import Stash
 
 
 def test_latest_version(spark):
@@ -92,6 +94,57 @@ def test_closeness_of_large_graphs(spark):
     assert {r["g"] for r in cut if r["betweenness"] is None} == {"g"}
 
 
+def test_path_centralities_of_long_threads(spark, monkeypatch):
+    # as many steps as users: no stage is written for a step
+    put, stages = Stash.put, []
+    monkeypatch.setattr(Stash, "put", lambda self, *args: stages.append(1) or put(self, *args))
+    edges = spark.createDataFrame([("g", f"u{i:02}", f"u{i + 1:02}") for i in range(29)] + [("g", "u29", "u29")], "g string, src string, dst string")
+    got = {r["node"]: (r["closeness"], r["betweenness"]) for r in network.path_centralities(edges, "g", between=20).collect()}
+    assert got == {f"u{i:02}": (pytest.approx(2 * i / (i + 1) / 29), None) for i in range(30)}
+    assert len(stages) < 10
+    over = network.path_centralities(edges.where("src < 'u05'"), "g", between=2, within=3).collect()
+    assert {r["node"]: r["closeness"] for r in over} == {f"u{i:02}": pytest.approx(2 * i / (i + 1) / 5) for i in range(6)}
+
+
+def test_path_centralities_of_odd_edges(spark):
+    rows = [("g", "a", "b"), ("g", "a", "b"), ("g", "c", "c"), ("g", "a", None), (None, "a", "b"), ("h", "d", "d")]
+    edges = spark.createDataFrame(rows, "g string, src string, dst string")
+    want = {("g", "a"): 0.0, ("g", "b"): 0.5, ("g", "c"): 0.0, ("h", "d"): 0.0}
+    for between in (1000, 2, 1):
+        assert {(r["g"], r["node"]): r["closeness"] for r in network.path_centralities(edges, "g", between=between).collect()} == want
+    assert network.path_centralities(edges.where("g = 'x'"), "g").count() == 0
+
+
+def test_path_kernels_in_parts(monkeypatch):
+    rng = random.Random(3)
+    for places, words, few in ((1, 1, 1), (300, 200, 2), (10**6, 10**6, 16)):
+        for name, value in (("PLACES", places), ("WORDS", words), ("FEW", few)):
+            monkeypatch.setattr(network, name, value)
+        n, half = 170, 20  # two graphs; a hub in the second
+        pairs = {(rng.randrange(half), rng.randrange(half)) for _ in range(40)} | {(rng.randrange(half, n), rng.choice([half, rng.randrange(half, n)])) for _ in range(400)}
+        pairs = sorted((a, b) for a, b in pairs if a != b)
+        src, dst = np.array(pairs).T
+        out = {v: [b for a, b in pairs if a == v] for v in range(n)}
+        reached, total, between = [0] * n, [0] * n, [0.0] * n
+        for s in range(n):
+            dist, count, order = {s: 0}, {s: 1}, [s]
+            for v in order:
+                for w in out[v]:
+                    if w not in dist:
+                        dist[w], count[w] = dist[v] + 1, 0
+                        order.append(w)
+                    count[w] += count[v] * (dist[w] == dist[v] + 1)
+            gain = dict.fromkeys(order, 0.0)
+            for v in reversed(order):
+                gain[v] = sum(count[v] / count[w] * (1 + gain[w]) for w in out[v] if dist[w] == dist[v] + 1)
+                if v != s:
+                    reached[v], total[v], between[v] = reached[v] + 1, total[v] + dist[v], between[v] + gain[v]
+        r, t, b = network._between(src, dst, np.array([0] * half + [1] * (n - half)))
+        assert r.tolist() == reached and t.tolist() == total and b == pytest.approx(between)
+        r, t = sum(np.array(network._near(n, src, dst, part, 3)) for part in range(3))
+        assert r.tolist() == reached and t.tolist() == total
+
+
 def test_edges_from_comments(spark):
     rows = [("1", None, "p", "u", "Uma", "hi"), ("2", "1", "p", "v", "vic.1", "@Uma hey @uma."), ("3", "1", "p", "u", "Uma", "@vic.1, no"), ("4", "1", "q", "v", "vic.1", "@uma"), ("5", "2", "p", None, "", "@uma"), ("6", "2", "p", "w", None, None)]
     df = spark.createDataFrame(rows, "comment_id string, parent_id string, post_id string, user_id string, username string, text string")
