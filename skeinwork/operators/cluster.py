@@ -11,52 +11,86 @@ from pyspark.sql import functions as F
 
 from skeinwork.functions.vectors import distance, dot, scale, scaling
 from skeinwork.operators.components import star_components
-from skeinwork.storage import Stash
+from skeinwork.storage import Stash, spread
 
 #: Distinct points that are clustered a group in a task.
 LOCAL = 20_000
+#: Distinct points of small groups that go to a task together, on average.
+SHARE = 5_000
 #: Cells of a line that one task puts in order.
 CHUNK = 4096
 #: Clusters whose centres may be sent to all tasks.
 MAX_CENTRES = 10_000
 
 
+def _blocks(x: np.ndarray, axis: int, eps: float, rows: np.ndarray, columns: np.ndarray, useful=None):
+    """Some row numbers, column numbers and which of them are within eps, block by block.  Both come in order
+    of the axis; ``useful`` leaves out columns that the rows need not be compared with."""
+    line, of = x[columns, axis], x[rows, axis]
+    low, high = np.searchsorted(line, of - eps * (1 + 1e-12)), np.searchsorted(line, of + eps * (1 + 1e-12), side="right")
+    for at in range(0, len(rows), 256):
+        r = rows[at : at + 256]
+        c = columns[low[at] : high[at + len(r) - 1]]
+        if useful is not None:
+            c = useful(r, c)
+        if not len(c):
+            continue
+        square = np.zeros((len(r), len(c)))
+        for i in range(x.shape[1]):
+            square += (x[r, i, None] - x[None, c, i]) ** 2
+        yield r, c, np.sqrt(square) <= eps
+
+
+def _link(top: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
+    """Join the sets of a and b in ``top``, where each number has the least of its set."""
+    while (apart := top[a] != top[b]).any():
+        a, b = top[a[apart]], top[b[apart]]
+        np.minimum.at(top, np.maximum(a, b), np.minimum(a, b))
+        while ((jump := top[top]) != top).any():
+            top[:] = jump
+
+
+def _group(x: np.ndarray, n: np.ndarray, keys: np.ndarray, eps: float, least: int) -> np.ndarray:
+    """The clusters of the points of a group.  Points of a cell are neighbours, and cells of one cluster are not
+    compared again, so no table of pairs is made."""
+    axis = int(np.argmax(x.std(axis=0)))
+    order = np.argsort(x[:, axis], kind="stable")
+    back = np.empty(len(x), dtype=np.int64)
+    back[order] = np.arange(len(x))
+    x, n, keys = x[order], n[order].astype(float), keys[order]
+    cell = np.unique(np.floor(x / (eps / x.shape[1] ** 0.5)), axis=0, return_inverse=True)[1].reshape(-1)
+    weight = np.bincount(cell, weights=n)[cell]
+    every = np.arange(len(x))
+    for r, c, near in _blocks(x, axis, eps, every[weight < least], every):
+        weight[r] = (near | (cell[r, None] == cell[None, c])) @ n[c]
+    core = weight >= least
+    inner, top = every[core], np.arange(cell.max() + 1)
+
+    def elsewhere(r: np.ndarray, c: np.ndarray) -> np.ndarray:
+        own = top[cell[r]]
+        return c[top[cell[c]] != own[0]] if (own == own[0]).all() else c
+
+    for r, c, near in _blocks(x, axis, eps, inner, inner, elsewhere):
+        i, j = np.nonzero(near & (top[cell[r], None] != top[None, cell[c]]))
+        _link(top, cell[r[i]], cell[c[j]])
+    rank = np.empty(len(x), dtype=np.int64)
+    rank[np.argsort(keys, kind="stable")] = every
+    head = np.full(len(top), len(x))
+    np.minimum.at(head, top[cell[inner]], rank[inner])
+    out = np.full(len(x), len(x))
+    out[inner] = head[top[cell[inner]]]
+    for r, c, near in _blocks(x, axis, eps, every[~core], inner):
+        out[r] = np.where(near | (cell[r, None] == cell[None, c]), out[None, c], len(x)).min(axis=1)
+    return np.append(np.sort(keys).astype(object), None)[out[back]]
+
+
 def _in_memory(eps: float, least: int):
     def run(frame: pd.DataFrame) -> pd.DataFrame:
-        x, n, keys = np.stack(frame["x"].to_numpy()), frame["n"].to_numpy(), frame["k"].to_numpy()
-        axis = int(np.argmax(x.std(axis=0)))
-        order = np.argsort(x[:, axis], kind="stable")
-        x, n, keys, line = x[order], n[order], keys[order], x[order, axis]
-        low, high = np.searchsorted(line, line - eps * (1 + 1e-12)), np.searchsorted(line, line + eps * (1 + 1e-12), side="right")
-        starts, ends = [], []
-        for at in range(0, len(x), 256):
-            a, b = low[at], high[min(at + 256, len(x)) - 1]
-            square = np.zeros((min(256, len(x) - at), b - a))
-            for c in range(x.shape[1]):
-                square += (x[at : at + 256, c, None] - x[None, a:b, c]) ** 2
-            i, j = np.nonzero(np.sqrt(square) <= eps)
-            starts.append(i + at), ends.append(j + a)
-        i, j = np.concatenate(starts), np.concatenate(ends)
-        core = np.bincount(i, weights=n[j], minlength=len(x)) >= least
-        rank = np.empty(len(x), dtype=np.int64)
-        rank[np.argsort(keys, kind="stable")] = np.arange(len(x))
-        label = np.where(core, rank, len(x))
-        both = core[i] & core[j]
-        a, b = i[both], j[both]
-        while True:  # least rank among core neighbours, with jumps to the label's own label
-            new = label.copy()
-            np.minimum.at(new, a, label[b])
-            by_rank = np.full(len(x) + 1, len(x))
-            by_rank[rank] = new
-            new = np.where(core, np.minimum(new, by_rank[new]), new)
-            if (new == label).all():
-                break
-            label = new
-        out = label.copy()
-        edge = ~core[i] & core[j]
-        np.minimum.at(out, i[edge], label[j[edge]])
-        names = np.append(np.sort(keys), None) if keys.dtype == object else np.append(np.sort(keys).astype(object), None)
-        return pd.DataFrame({"g": frame["g"].iloc[0], "x": list(x), "cluster": pd.Series(names[out])})
+        parts = []
+        for g, rows in frame.groupby("g", sort=False):
+            clusters = _group(np.stack(rows["x"].to_numpy()), rows["n"].to_numpy(), rows["k"].to_numpy(), eps, least)
+            parts.append(pd.DataFrame({"g": g, "x": rows["x"].to_numpy(), "cluster": pd.Series(clusters, dtype=object)}))
+        return pd.concat(parts)
 
     return run
 
@@ -66,12 +100,13 @@ def dbscan(df: DataFrame, key: str, columns: list[str], eps: float, least: int,
 
     With ``by``, rows cluster within equal values of that column only.  Equal points become one weighted
     point first, so copies cost nothing.  Points are put into fine cells of eps / sqrt(d): points of one
-    cell are neighbours without looking at pairs.  Points of different fine cells are compared where
+    cell are neighbours without looking at pairs.  A group of up to ``LOCAL`` distinct points is done within a
+    task, with others.  The points of larger groups are compared where they are in different fine cells and
     their coarse cells, of eps in the (at most three) columns that spread most, touch: 27 cells at most,
-    whatever the number of columns.  Core cells are linked as cells.  A border point joins the reachable
-    cluster of least core key.  Up to ``LOCAL`` distinct points, a group is one task that compares each
-    point with those near it in the column that spreads most; the result is the same.  Rows with a null coordinate are noise.  One column goes by
-    :func:`dbscan_line` instead.
+    whatever the number of columns.  Neighbours are counted for points of light cells only, core cells are linked
+    as cells, and pairs are grouped as they are met, never written.  A border point joins the reachable
+    cluster of least core key.  Both ways have the same result.  Rows with a null coordinate are noise.  One
+    column goes by :func:`dbscan_line` instead.
     """
     if len(columns) == 1:
         return dbscan_line(df, key, columns[0], eps, least, by)
@@ -84,35 +119,54 @@ def dbscan(df: DataFrame, key: str, columns: list[str], eps: float, least: int,
     full = ~F.exists("x", lambda v: v.isNull() | F.isnan(v))
     points = rows.where(full).groupBy("g", "x").agg(F.count("*").alias("n"), F.min("k").alias("k"))
     points = stash.put(points.select("k", "g", "x", "n", F.struct("g", F.transform("x", lambda v: F.floor(v / side)).alias("c")).alias("cell")))
-    if points.count() <= LOCAL:
-        kind = df.schema[key].dataType.simpleString()
-        local = points.select("g", "x", "n", "k").groupBy("g").applyInPandas(_in_memory(eps, least), f"g string, x array<double>, cluster {kind}")
-        return rows.join(local, ["g", "x"], "left").select(F.col("k").alias(key), "cluster")
+    sizes = points.groupBy("g").agg(F.count("*").alias("m"))
+    total, most = sizes.agg(F.coalesce(F.sum("m"), F.lit(0)), F.coalesce(F.max("m"), F.lit(0))).first()
+    kind = df.schema[key].dataType.simpleString()
+    small = points.select("g", "x", "n", "k")
+    if most > LOCAL:
+        large = stash.put(sizes.where(F.col("m") > LOCAL).select("g"))
+        small, points = small.join(large, "g", "left_anti"), stash.put(points.join(large, "g", "left_semi"))
+    if total > SHARE:
+        small = spread(df.sparkSession, small.withColumn("part", F.pmod(F.xxhash64("g"), F.lit(total // SHARE + 1))), "part")
+    else:
+        small = small.withColumn("part", F.lit(0))
+    at = small.groupBy("part").applyInPandas(_in_memory(eps, least), f"g string, x array<double>, cluster {kind}")
+    if most > LOCAL:
+        at = at.unionByName(_by_cells(points, stash, eps, least, d))
+    return rows.join(at, ["g", "x"], "left").select(F.col("k").alias(key), "cluster")
+
+
+def _by_cells(points: DataFrame, stash: Stash, eps: float, least: int, d: int) -> DataFrame:
+    """``g, x, cluster`` of groups too large for a task."""
     cells = points.groupBy("cell").agg(F.sum("n").alias("weight"))
-    spread = points.agg(*[F.stddev_pop(F.col("x")[i]).alias(str(i)) for i in range(d)]).first()
-    used = sorted(sorted(range(d), key=lambda i: -(spread[i] or 0.0))[:3])
+    spreads = points.agg(*[F.stddev_pop(F.col("x")[i]).alias(str(i)) for i in range(d)]).first()
+    used = sorted(sorted(range(d), key=lambda i: -(spreads[i] or 0.0))[:3])
     coarse = lambda of: F.concat_ws(",", "g", *[(F.floor(F.col("x")[i] / eps) + of[n]).cast("string") for n, i in enumerate(used)])
     steps = list(itertools.product((-1, 0, 1), repeat=len(used)))
-    here = points.select("k", "x", "n", "cell", coarse([0] * len(used)).alias("at"))
-    near = points.select("k", "x", "cell", F.explode(F.array(*[coarse(o) for o in steps])).alias("at"))
-    a, b = near.alias("a"), here.alias("b")
-    close = a.join(b, (F.col("a.at") == F.col("b.at")) & (F.col("a.cell") != F.col("b.cell")) & (distance(F.col("a.x"), F.col("b.x")) <= eps))
-    pairs = stash.put(close.select(F.col("a.k").alias("k"), F.col("a.cell").alias("cell"), F.col("b.k").alias("q"), F.col("b.cell").alias("qcell"), F.col("b.n").alias("n")))
-    around = pairs.groupBy("k").agg(F.sum("n").alias("around"))
-    core = points.join(cells, "cell").join(around, "k", "left").where(F.col("weight") + F.coalesce("around", F.lit(0)) >= least).select("k", "cell")
+
+    def close(some: DataFrame, others: DataFrame, which: Column) -> DataFrame:
+        near = some.select("k", "x", "cell", F.explode(F.array(*[coarse(o) for o in steps])).alias("at")).alias("a")
+        here = others.select("k", "x", "n", "cell", coarse([0] * len(used)).alias("at")).alias("b")
+        met = near.join(here, (F.col("a.at") == F.col("b.at")) & which & (distance(F.col("a.x"), F.col("b.x")) <= eps))
+        return met.select(F.col("a.k").alias("k"), F.col("a.cell").alias("cell"), F.col("b.cell").alias("qcell"), F.col("b.n").alias("n"))
+
+    apart = F.col("a.cell") != F.col("b.cell")
+    light = points.join(cells.where(F.col("weight") < least), "cell", "left_semi")
+    around = close(light, points, apart).groupBy("k").agg(F.sum("n").alias("around"))
+    core = points.join(cells, "cell").join(around, "k", "left").where(F.col("weight") + F.coalesce("around", F.lit(0)) >= least).select("k", "g", "x", "n", "cell")
     core = stash.put(core)
     core_cells = core.groupBy("cell").agg(F.min("k").alias("head"))
-    links = pairs.join(core.select("k"), "k", "left_semi").join(core.select(F.col("k").alias("q")), "q", "left_semi").select("cell", "qcell").distinct()
+    links = close(core, core, F.col("a.cell") < F.col("b.cell")).select("cell", "qcell").distinct()
     named = core_cells.select(F.col("cell").alias("c"), "head")
     edges = links.join(named.select(F.col("c").alias("cell"), F.col("head").alias("a")), "cell").join(named.select(F.col("c").alias("qcell"), F.col("head").alias("b")), "qcell").select("a", "b")
     labels = star_components(stash.put(edges), stash)
     clusters = stash.put(core_cells.join(labels, F.col("head") == F.col("node"), "left").select("cell", F.coalesce("component", "head").alias("cluster")))
-    of_core = core.join(clusters, "cell").select("k", "cluster")
-    same_cell = points.join(clusters, "cell").select("k", "cluster")
-    other = pairs.join(core.select(F.col("k").alias("q")), "q", "left_semi").join(clusters.select(F.col("cell").alias("qcell"), "cluster"), "qcell").select("k", "cluster")
-    border = same_cell.unionByName(other).join(core.select("k"), "k", "left_anti").groupBy("k").agg(F.min("cluster").alias("cluster"))
-    at = points.select("k", "g", "x").join(of_core.unionByName(border), "k", "left").select("g", "x", "cluster")
-    return rows.join(at, ["g", "x"], "left").select(F.col("k").alias(key), "cluster")
+    rest = points.join(core.select("k"), "k", "left_anti")
+    same_cell = rest.join(clusters, "cell").select("k", "cluster")
+    other = close(rest, core, apart).select("k", "qcell").distinct().join(clusters.select(F.col("cell").alias("qcell"), "cluster"), "qcell").select("k", "cluster")
+    border = same_cell.unionByName(other).groupBy("k").agg(F.min("cluster").alias("cluster"))
+    named = core.join(clusters, "cell").select("k", "cluster").unionByName(border)
+    return points.select("k", "g", "x").join(named, "k", "left").select("g", "x", "cluster")
 
 
 def dbscan_line(df: DataFrame, key: str, column: str, eps: float, least: int, by: str | None = None) -> DataFrame:
@@ -165,17 +219,18 @@ def weighted_dbscan(df: DataFrame, key: str, features: str, width: int, weight:
     return dbscan(df.select(key, *[(F.col(features)[i] * F.col(weight)).cast("double").alias(n) for i, n in enumerate(names)]), key, names, eps, least)
 
 
-def refined(df: DataFrame, key: str, cluster: str, columns: list[str], eps: float, least: int, members: int) -> DataFrame:
+def refined(df: DataFrame, key: str, cluster: str, columns: list[str], eps: float, least: int, members: int, keep: tuple[str, ...] = ()) -> DataFrame:
     """``key, cluster``: clusters of at least ``members`` rows are clustered again by ``columns``, each within
     itself; a part has the name ``cluster/least key``.  What a second clustering leaves as noise, and the
     clusters too small for it, keep their name.  All clusters are refined in one run.  The rows are written
-    once: they are read four times, and a refinement of a refinement would carry the plan 16 times."""
+    once: they are read four times, and a refinement of a refinement would carry the plan 16 times.  The
+    columns of ``keep`` come along."""
     stash = Stash(df.sparkSession, "refined")
-    named = stash.put(df.select(key, F.col(cluster).cast("string").alias("_c"), *columns))
+    named = stash.put(df.select(key, F.col(cluster).cast("string").alias("_c"), *dict.fromkeys([*columns, *keep])))
     large = named.where("_c IS NOT NULL").groupBy("_c").agg(F.count("*").alias("_n")).where(F.col("_n") >= members).select("_c")
     parts = dbscan(named.join(large, "_c"), key, columns, eps, least, "_c").select(key, F.col("cluster").alias("_part"))
     part = F.when(F.col("_part").isNotNull(), F.concat_ws("/", "_c", F.col("_part").cast("string"))).otherwise(F.col("_c"))
-    return named.join(parts, key, "left").select(key, part.alias("cluster"))
+    return named.join(parts, key, "left").select(key, part.alias("cluster"), *keep)
 
 
 def size_bins(df: DataFrame, size: str, width: int = 2, least: int = 20) -> DataFrame:

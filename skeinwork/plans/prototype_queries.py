@@ -162,12 +162,12 @@ def dbscan_standardised(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def refined_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Features times weight clustered by DBSCAN, then parts by size, then by score and aggression."""
-    rows = Stash(spark, "weighted").put(_feature_rows(spark, sf_dir).withColumn("w", F.when(F.col("label") == 1, 1.5).otherwise(1.0)))
+    weight, score = F.when(F.col("label") == 1, 1.5).otherwise(1.0), F.coalesce("emotion_score", F.lit(0.0))
+    rows = _feature_rows(spark, sf_dir, "emotion_score").select("subgraph_id", "x", weight.alias("w"), F.col("n_nodes").alias("size"), score.alias("score"), F.greatest(F.lit(0.0), -score).alias("aggression"))
+    rows = Stash(spark, "weighted").put(rows)
     first = cluster.weighted_dbscan(rows, "subgraph_id", "x", 6, "w", 0.8, 5)
-    e = subgraphs(spark, sf_dir, "nodes", "emotion_score").select("subgraph_id", F.size(S.node_list(F.col("nodes"))).alias("size"), F.coalesce("emotion_score", F.lit(0.0)).alias("score"), F.greatest(F.lit(0.0), -F.coalesce("emotion_score", F.lit(0.0))).alias("aggression"))
-    e = Stash(spark, "measures").put(e)
-    named = first.join(e, "subgraph_id")
-    second = cluster.refined(named, "subgraph_id", "cluster", ["size"], 0.5, 3, 10).join(e, "subgraph_id")
+    named = first.join(rows.select("subgraph_id", "size", "score", "aggression"), "subgraph_id")
+    second = cluster.refined(named, "subgraph_id", "cluster", ["size"], 0.5, 3, 10, ("score", "aggression"))
     return cluster.refined(second, "subgraph_id", "cluster", ["score", "aggression"], 0.3, 2, 8)
 
 
